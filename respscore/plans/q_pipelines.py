@@ -1 +1,113 @@
-"""Placeholder."""
+"""Composite queries: the feature table (flagship), scaling, non-finite replacement."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import scale as SC
+from ..sources import fixtures as FX
+from . import duck as D
+from .feature_table import FEATURES, feature_table
+from .q_tfidf import TFIDF_BODY
+from .q_vocab import KNOWN_BODY, MISSPELLED_BODY
+from .registry import register, rounded
+
+
+def _grams(tok, n):
+    return D.filter_edge_chars(D.ngrams(tok, n))
+
+
+RAW_SQL = FX.with_views("responses", "prompts", "dictionary") + TFIDF_BODY + KNOWN_BODY + MISSPELLED_BODY + f"""
+, pt AS (SELECT prompt_id, prompt_text, {D.word_tokens(D.clean('prompt_text'))} AS tok FROM prompts)
+, pf AS (SELECT prompt_id, {D.word_cnt('prompt_text')} AS p_wc, {D.char_len('prompt_text')} AS p_len,
+                {D.stopword_cnt('prompt_text')} AS p_sw, {D.punct_cnt('prompt_text')} AS p_pc,
+                {D.distinct_words(D.clean('prompt_text'))} AS p_dw,
+                {_grams('tok', 2)} AS pg2, {_grams('tok', 3)} AS pg3, {_grams('tok', 4)} AS pg4 FROM pt)
+, rt AS (SELECT response_id, prompt_id, text, {D.word_tokens(D.clean('text'))} AS tok FROM responses)
+, rf AS (SELECT response_id, prompt_id, {D.word_cnt('text')} AS text_word_cnt, {D.char_len('text')} AS text_length,
+                {D.stopword_cnt('text')} AS text_stopword_cnt, {D.punct_cnt('text')} AS text_punct_cnt,
+                {D.distinct_words(D.clean('text'))} AS text_different_word_cnt,
+                {_grams('tok', 2)} AS rg2, {_grams('tok', 3)} AS rg3, {_grams('tok', 4)} AS rg4 FROM rt)
+, raw AS (SELECT rf.response_id, rf.prompt_id,
+      CAST(text_word_cnt AS DOUBLE) AS text_word_cnt, CAST(text_length AS DOUBLE) AS text_length,
+      CAST(text_stopword_cnt AS DOUBLE) AS text_stopword_cnt, CAST(text_punct_cnt AS DOUBLE) AS text_punct_cnt,
+      CAST(miss.text_misspelled_cnt AS DOUBLE) AS text_misspelled_cnt,
+      CAST(text_different_word_cnt AS DOUBLE) AS text_different_word_cnt,
+      {D.ratio('text_different_word_cnt', 'p_dw')} AS text_different_word_ratio,
+      {D.ratio('text_word_cnt', 'p_wc')} AS text_word_ratio,
+      {D.ratio('text_length', 'p_len')} AS text_length_ratio,
+      {D.ratio('text_stopword_cnt', 'p_sw')} AS text_stopword_ratio,
+      {D.ratio('text_punct_cnt', 'p_pc')} AS text_punct_ratio,
+      karp_scores.karp_tfidf_scores,
+      CAST(len(list_intersect(list_distinct(rg2), list_distinct(pg2))) AS DOUBLE) AS shared_2grams,
+      CAST(len(list_intersect(list_distinct(rg3), list_distinct(pg3))) AS DOUBLE) AS shared_3grams,
+      CAST(len(list_intersect(list_distinct(rg4), list_distinct(pg4))) AS DOUBLE) AS shared_4grams
+    FROM rf JOIN pf USING (prompt_id) JOIN miss USING (response_id) JOIN karp_scores USING (response_id))
+"""
+
+
+def _scaled_sql(cols):
+    parts = []
+    for c in cols:
+        mn = f"min({c}) OVER (PARTITION BY prompt_id)"
+        mx = f"max({c}) OVER (PARTITION BY prompt_id)"
+        parts.append(f"round(CASE WHEN {mx} > {mn} THEN ({c} - {mn}) / ({mx} - {mn}) ELSE 0.0 END, 6) AS {c}")
+    return ",\n  ".join(parts)
+
+
+@register("feature_table", RAW_SQL + f"SELECT response_id, prompt_id,\n  {_scaled_sql(FEATURES)}\nFROM raw")
+def q_feature_table(spark, sf):
+    """Flagship: pipeline #1's 15 features, min-max scaled within each prompt."""
+    return rounded(feature_table(FX.responses(spark, sf), FX.prompts(spark, sf), FX.dictionary(spark, sf)))
+
+
+@register("feature_table_raw", RAW_SQL + "SELECT response_id, prompt_id, " +
+          ", ".join(f"round({c}, 6) AS {c}" for c in FEATURES) + " FROM raw")
+def q_feature_table_raw(spark, sf):
+    from .feature_table import raw_features
+    raw = raw_features(FX.responses(spark, sf), FX.prompts(spark, sf), FX.dictionary(spark, sf))
+    return rounded(raw.select("response_id", "prompt_id", *[F.col(c).cast("double").alias(c) for c in FEATURES]))
+
+
+MM_COLS = ["text_word_cnt", "text_length", "text_punct_cnt"]
+
+
+@register("minmax_by_prompt", FX.with_views("responses") + f"""
+, c AS (SELECT response_id, prompt_id, CAST({D.word_cnt('text')} AS DOUBLE) AS text_word_cnt,
+               CAST({D.char_len('text')} AS DOUBLE) AS text_length,
+               CAST({D.punct_cnt('text')} AS DOUBLE) AS text_punct_cnt FROM responses)
+SELECT response_id, prompt_id, {_scaled_sql(MM_COLS)} FROM c""")
+def q_minmax_by_prompt(spark, sf):
+    """Per-prompt min-max scaling via grouped min/max + join (no per-prompt window)."""
+    r = FX.responses(spark, sf).select(
+        "response_id", "prompt_id", T.word_cnt("text").cast("double").alias("text_word_cnt"),
+        T.char_len("text").cast("double").alias("text_length"),
+        T.punct_cnt("text").cast("double").alias("text_punct_cnt"))
+    return rounded(SC.minmax_by_group(r, MM_COLS, "prompt_id"))
+
+
+@register("nonfinite_to_zero", FX.with_views("responses", "prompts") + f"""
+SELECT r.response_id,
+  round(CASE WHEN {D.punct_cnt('p.prompt_title')} = 0 THEN 0.0
+        ELSE {D.punct_cnt('r.text')} / CAST({D.punct_cnt('p.prompt_title')} AS DOUBLE) END, 6) AS punct_title_ratio,
+  round(CASE WHEN {D.stopword_cnt('p.prompt_title')} = 0 THEN 0.0
+        ELSE {D.stopword_cnt('r.text')} / CAST({D.stopword_cnt('p.prompt_title')} AS DOUBLE) END, 6)
+        AS stopword_title_ratio
+FROM responses r JOIN prompts p ON r.prompt_id = p.prompt_id""")
+def q_nonfinite_to_zero(spark, sf):
+    """Ratios over the prompt *title* (often 0 marks) with inf/NaN -> 0.
+
+    IEEE division is used on purpose (``try_divide`` off): 0/0 gives NaN, x/0
+    gives inf, and B6 maps both to 0.
+    """
+    r = FX.responses(spark, sf).select("response_id", "prompt_id", "text")
+    p = FX.prompts(spark, sf).select("prompt_id", "prompt_title")
+    j = r.join(p, "prompt_id")
+    a, b = T.punct_cnt("text").cast("double"), T.punct_cnt("prompt_title").cast("double")
+    c, d = T.stopword_cnt("text").cast("double"), T.stopword_cnt("prompt_title").cast("double")
+    inf = F.lit(float("inf"))
+    ieee = lambda x, y: (F.when(y != 0, x / F.when(y != 0, y))
+                         .when(x == 0, F.lit(float("nan"))).otherwise(inf))
+    raw = j.select("response_id", ieee(a, b).alias("punct_title_ratio"), ieee(c, d).alias("stopword_title_ratio"))
+    return rounded(SC.nonfinite_to_zero(raw))
