@@ -1 +1,166 @@
-"""Placeholder."""
+"""Queries for models: Gram sums, fold fits (D11, D12, M4) and Spark ML fits (M1-M3, M5)."""
+
+from __future__ import annotations
+
+import itertools
+
+from pyspark.sql import functions as F
+
+from ..operators import model as MO
+from ..operators import sampling as SA
+from ..operators import scale as SC
+from ..sources import fixtures as FX
+from .q_profile import BASIC, BASIC_SQL, basic_features
+from .registry import register, rounded
+
+TARGETS = ("content", "wording")
+
+
+def model_data(spark, sf):
+    """Per-prompt scaled row-local features of labelled responses, with both targets."""
+    b = SC.minmax_by_group(basic_features(spark, sf), BASIC, "prompt_id")
+    return b.join(FX.scores(spark, sf), "response_id")
+
+
+def _scaled_expr(c):
+    mn, mx = f"min({c}) OVER (PARTITION BY prompt_id)", f"max({c}) OVER (PARTITION BY prompt_id)"
+    return f"CASE WHEN {mx} > {mn} THEN ({c} - {mn}) / ({mx} - {mn}) ELSE 0.0 END AS {c}"
+
+
+MD_SQL = BASIC_SQL + f"""
+, scaled AS (SELECT response_id, prompt_id, {', '.join(_scaled_expr(c) for c in BASIC)} FROM basic)
+, md AS (SELECT s.*, sc.content, sc.wording FROM scaled s JOIN scores sc USING (response_id))
+"""
+
+
+def _gram_sql():
+    terms = ["one", *BASIC, *TARGETS]
+    ex = {t: ("1.0" if t == "one" else t) for t in terms}
+    cols = [f"round(sum({ex[a]} * {ex[b]}), 6) AS s__{a}__{b}" for a, b in itertools.combinations_with_replacement(terms, 2)]
+    return MD_SQL + f"SELECT prompt_id, {', '.join(cols)} FROM md GROUP BY prompt_id"
+
+
+@register("gram_sums", _gram_sql())
+def q_gram_sums(spark, sf):
+    """Per-prompt sufficient statistics of (1, features, targets): one pass over the data."""
+    return rounded(MO.gram_sums(model_data(spark, sf), BASIC, TARGETS))
+
+
+def _fold_sql():
+    structs = ", ".join(f"{{'feature': '{c}', 'x': {c}}}" for c in BASIC)
+    sums = ["CAST(count(*) AS DOUBLE) AS n", "sum(s.x) AS sx", "sum(s.x * s.x) AS sxx"]
+    for t in TARGETS:
+        sums += [f"sum({t}) AS sy_{t}", f"sum(s.x * {t}) AS sxy_{t}", f"sum({t} * {t}) AS syy_{t}"]
+    stat = ["n", "sx", "sxx"] + [f"{k}_{t}" for t in TARGETS for k in ("sy", "sxy", "syy")]
+    tr = ", ".join(f"t_{c} - {c} AS tr_{c}" for c in stat)
+    parts = []
+    for t in TARGETS:
+        b = (f"CASE WHEN tr_n * tr_sxx - tr_sx * tr_sx > 1e-9 * tr_n * tr_n THEN (tr_n * tr_sxy_{t} - tr_sx * tr_sy_{t}) "
+             f"/ (tr_n * tr_sxx - tr_sx * tr_sx) ELSE 0.0 END")
+        parts.append(f"{b} AS b_{t}")
+    ab = ", ".join(f"(tr_sy_{t} - b_{t} * tr_sx) / tr_n AS a_{t}" for t in TARGETS)
+    rm = ", ".join(
+        f"sqrt(greatest(syy_{t} - 2 * a_{t} * sy_{t} - 2 * b_{t} * sxy_{t} + n * a_{t} * a_{t} + 2 * a_{t} * b_{t} * sx"
+        f" + b_{t} * b_{t} * sxx, 0) / n) AS rmse_{t}" for t in TARGETS)
+    return MD_SQL + f"""
+, lg AS (SELECT prompt_id, content, wording, unnest([{structs}]) AS s FROM md)
+, st AS (SELECT prompt_id, s.feature AS feature, {', '.join(sums)} FROM lg GROUP BY prompt_id, s.feature)
+, tot AS (SELECT feature, {', '.join(f'sum({c}) AS t_{c}' for c in stat)} FROM st GROUP BY feature)
+, j AS (SELECT st.*, {tr} FROM st JOIN tot USING (feature))
+, bb AS (SELECT *, {', '.join(parts)} FROM j)
+, aa AS (SELECT *, {ab} FROM bb)
+, fl AS (SELECT prompt_id AS fold_prompt, feature, {rm} FROM aa)
+, fl2 AS (SELECT *, (rmse_content + rmse_wording) / 2 AS valid_loss FROM fl)
+"""
+
+
+FOLD_SQL = _fold_sql()
+
+
+def _fold_losses(spark, sf):
+    return MO.single_feature_fold_losses(model_data(spark, sf), BASIC, TARGETS)
+
+
+@register("fold_losses", FOLD_SQL + """
+SELECT fold_prompt, feature, round(rmse_content, 6) AS rmse_content, round(rmse_wording, 6) AS rmse_wording,
+       round(valid_loss, 6) AS valid_loss FROM fl2""")
+def q_fold_losses(spark, sf):
+    """Leave-one-prompt-out loss of each single-feature line, from per-prompt sums."""
+    return rounded(_fold_losses(spark, sf))
+
+
+@register("fold_means", FOLD_SQL + """
+SELECT feature, round(avg(valid_loss), 6) AS valid_loss, count(*) AS folds FROM fl2 GROUP BY feature""")
+def q_fold_means(spark, sf):
+    """Per-fold losses averaged over folds, per candidate."""
+    from ..operators import metrics as ME
+    return rounded(ME.fold_means(_fold_losses(spark, sf), by="feature"))
+
+
+@register("best_candidate", FOLD_SQL + """
+, m AS (SELECT feature, avg(valid_loss) AS valid_loss FROM fl2 GROUP BY feature)
+SELECT arg_min(feature, (round(valid_loss, 9), feature)) AS feature, round(min(valid_loss), 6) AS valid_loss FROM m""")
+def q_best_candidate(spark, sf):
+    """The candidate with the lowest mean fold loss."""
+    from ..operators import metrics as ME
+    return rounded(ME.best_candidate(ME.fold_means(_fold_losses(spark, sf), by="feature"), by="feature"))
+
+
+@register("backward_elimination")
+def q_backward_elimination(spark, sf):
+    """M4: greedy backward removal under leave-one-prompt-out MCRMSE (Gram-sum fits)."""
+    return rounded(MO.backward_elimination(model_data(spark, sf), BASIC, TARGETS, floor=6))
+
+
+def _split(spark, sf):
+    d = model_data(spark, sf)
+    parts = SA.stratified_split(d.select("response_id", "prompt_id"), "response_id").select("response_id", "part")
+    return d.join(parts, "response_id")
+
+
+@register("fit_two_targets")
+def q_fit_two_targets(spark, sf):
+    """M1: one linear regressor per target on the training part; coefficient table."""
+    d = _split(spark, sf)
+    models = MO.fit_two_targets(d.where(F.col("part") == "train"), BASIC, TARGETS)
+    return rounded(MO.coefficients(spark, models, BASIC))
+
+
+@register("evaluate_holdout")
+def q_evaluate_holdout(spark, sf):
+    """M2: predictions on the validation part and their squared errors."""
+    d = _split(spark, sf)
+    models = MO.fit_two_targets(d.where(F.col("part") == "train"), BASIC, TARGETS)
+    p = MO.predict(models, d.where(F.col("part") == "valid"), BASIC, "response_id")
+    return rounded(p.select("response_id", "content", "wording", "p_content", "p_wording"))
+
+
+@register("param_search")
+def q_param_search(spark, sf, config=None, tries=150):
+    """M3: random search (P4 over the C6 grid); one row per evaluated combination."""
+    from ..operators import metrics as ME
+    config = config or {"reg": [0.0, 0.01, 0.1], "elastic": [0.0, 0.5]}
+    grid = SA.param_sample(SA.param_grid(spark, config), tries)
+    d = _split(spark, sf).cache()
+    train, valid = d.where(F.col("part") == "train"), d.where(F.col("part") == "valid")
+    rows = []
+    for c in grid.collect():  # at most `tries` small config rows; each iteration is a Spark ML fit
+        models = MO.fit_two_targets(train, BASIC, TARGETS, reg=c["reg"], elastic=c["elastic"])
+        m = ME.mcrmse(MO.predict(models, valid, BASIC, "response_id")).first()
+        rows.append((c["combo"], float(c["reg"]), float(c["elastic"]), float(m["mcrmse"])))
+    d.unpersist()
+    return rounded(spark.createDataFrame(rows, "combo string, reg double, elastic double, valid_mcrmse double"))
+
+
+@register("two_model_combine")
+def q_two_model_combine(spark, sf):
+    """M5: content model on counts, wording model on ratios; predictions joined on the id."""
+    from ..operators import metrics as ME
+    d = _split(spark, sf)
+    train, valid = d.where(F.col("part") == "train"), d.where(F.col("part") == "valid")
+    counts, ratios = BASIC[:5], BASIC[5:]
+    mc = MO.fit_two_targets(train, counts, ("content",))
+    mw = MO.fit_two_targets(train, ratios, ("wording",))
+    pc = MO.predict(mc, valid, counts, "response_id")
+    pw = MO.predict(mw, valid, ratios, "response_id")
+    return rounded(ME.combine_predictions(pc, pw, "response_id", "p_content", "p_wording"))
