@@ -32,8 +32,8 @@ def _c(x) -> Column:
 
 def clean(text, lower: bool = False) -> Column:
     """Keep [A-Za-z0-9'], every other run of characters -> one space, trim."""
-    t = F.regexp_replace(_c(text), KEEP_CLASS, " ")
-    t = F.trim(F.regexp_replace(t, " +", " "))
+    # a run of dropped characters (spaces included) becomes one space: one pass
+    t = F.trim(F.regexp_replace(_c(text), KEEP_CLASS + "+", " "))
     return F.lower(t) if lower else t
 
 
@@ -93,18 +93,15 @@ def word_tokens(cleaned) -> Column:
     ``do n't``, ``it's`` -> ``it 's``) and the fused forms (``cannot`` ->
     ``can not``).
     """
+    # Each pass reads the previous result once, so the cleaned text is
+    # evaluated once per row (no repeated sub-expressions).
     t = F.concat(F.lit(" "), _c(cleaned), F.lit(" "))
     # fixed values: fused forms split by the treebank tokenizer
-    t = F.regexp_replace(t, r"(?i)\b(can)(not)\b", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\b(gim)(me)\b", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\b(gon)(na)\b", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\b(got)(ta)\b", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\b(lem)(me)\b", "$1 $2")
-    t = F.regexp_replace(t, r"(?i)\b(wan)(na)(\s)", "$1 $2$3")
+    # (cannot, gimme, gonna, gotta, lemme, wanna -> two tokens)
+    t = F.regexp_replace(t, r"(?i)\b(can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\s))",
+                         "$1 ")
     # fixed values: clitics split off the end of a word
-    t = F.regexp_replace(t, r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 ")
-    t = F.regexp_replace(t, r"([^' ])('[sSmMdD]|') ", "$1 $2 ")
-    t = F.trim(F.regexp_replace(t, " +", " "))
+    t = F.regexp_replace(t, r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'[sSmMdD]|') ", "$1 $2 ")
     return F.filter(F.split(t, " "), lambda w: w != F.lit(""))
 
 

@@ -36,15 +36,19 @@ def prompt_features(prompts: DataFrame, feature: str = "prompt_text",
     return out.drop("_tok")
 
 
-def response_counts(df: DataFrame, feature: str = "text") -> DataFrame:
-    """S4-S8 on the response text: words, chars, stopwords, marks, distinct words."""
-    return (df.withColumn("_clean", T.clean(feature))
+def response_counts(df: DataFrame, feature: str = "text", keep_clean: bool = False) -> DataFrame:
+    """S4-S8 on the response text: words, chars, stopwords, marks, distinct words.
+
+    The cleaned text is computed once as a column (``_clean``); pass
+    ``keep_clean`` to let the n-gram step reuse it.
+    """
+    out = (df.withColumn("_clean", T.clean(feature))
               .withColumn(f"{feature}_word_cnt", T.word_cnt(feature))
               .withColumn(f"{feature}_length", T.char_len(feature))
               .withColumn(f"{feature}_stopword_cnt", T.stopword_cnt(feature))
               .withColumn(f"{feature}_punct_cnt", T.punct_cnt(feature))
-              .withColumn(f"{feature}_different_word_cnt", T.distinct_words("_clean"))
-              .drop("_clean"))
+              .withColumn(f"{feature}_different_word_cnt", T.distinct_words("_clean")))
+    return out if keep_clean else out.drop("_clean")
 
 
 def join_prompts(responses: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -80,9 +84,10 @@ def shared_ngrams(df: DataFrame, feature: str = "text", prompt: str = "prompt_te
     the overlap is a per-row hash intersection; nothing is exploded or
     shuffled per gram.
     """
-    out = df.withColumn("_tok", T.word_tokens(T.clean(feature)))
+    cleaned = F.col("_clean") if "_clean" in df.columns else T.clean(feature)
+    out = df.withColumn("_tok", T.word_tokens(cleaned))
     for n in grams:
         out = out.withColumn(
             f"shared_{n}grams",
             T.shared_count(T.filter_edge_chars(T.ngrams("_tok", n)), f"{prompt}_{n}grams"))
-    return out.drop("_tok", *[f"{prompt}_{n}grams" for n in grams])
+    return out.drop("_tok", "_clean", *[f"{prompt}_{n}grams" for n in grams])

@@ -16,6 +16,7 @@ from ..operators import features as FE
 from ..operators import scale as SC
 from ..operators import tfidf as TF
 from ..operators import vocab as V
+from ..session import cut_lineage
 
 FEATURES = [
     "text_word_cnt", "text_length", "text_stopword_cnt", "text_punct_cnt",
@@ -29,7 +30,7 @@ def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame
     """(response_id, prompt_id, 15 unscaled features)."""
     r = responses.select("response_id", "prompt_id", "text")
     p = FE.prompt_features(prompts, keep_text=False).drop("prompt_text_nostop")
-    j = FE.ratios(FE.join_prompts(FE.response_counts(r), p))
+    j = FE.ratios(FE.join_prompts(FE.response_counts(r, keep_clean=True), p))
     j = FE.shared_ngrams(j)
     known = V.lexicon(dictionary, prompts)
     mis = V.misspelled_cnt(r, "response_id", "text", known)
@@ -39,7 +40,12 @@ def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame
 
 
 def feature_table(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """B6 then E1 over the 15 features."""
-    raw = raw_features(responses, prompts, dictionary)
+    """B6 then E1 over the 15 features.
+
+    The raw features are checkpointed to the shared folder first: scaling reads
+    them twice (group min/max, then the rows), and the text work behind them
+    must run once, and must not rerun from the text after a lost executor.
+    """
+    raw = cut_lineage(raw_features(responses, prompts, dictionary))
     raw = raw.select("response_id", "prompt_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
     return SC.minmax_by_group(SC.nonfinite_to_zero(raw, FEATURES), FEATURES, "prompt_id")

@@ -17,9 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute rows by ``key`` only when the scan is under-split.
+
+    A big table on a cluster arrives as thousands of splits and is left
+    alone (no shuffle).  A table stored as a few large row groups would run
+    all row-local text work in a few tasks; then rows are spread over the
+    cluster's cores, partitioned by the row key that later aggregates use.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def responses(spark, sf_dir) -> DataFrame:
     """response_id, prompt_id, text, lang, source."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     return d.select(F.col("doc_id").alias("response_id"),
                     (F.col("doc_id") % N_PROMPTS).alias("prompt_id"),
                     "text", "lang", "source")
@@ -74,7 +88,7 @@ def token_vectors(spark, sf_dir) -> DataFrame:
 
 def predictions(spark, sf_dir) -> DataFrame:
     """response_id, p_content, p_wording: fixed predictions, no model needed."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     return d.select(F.col("doc_id").alias("response_id"),
                     (F.lit(0.5) + (F.col("doc_id") % 7).cast("double") / 20.0).alias("p_content"),
                     ((F.col("doc_id") % 5).cast("double") / 10.0).alias("p_wording"))
@@ -86,7 +100,8 @@ def dictionary(spark, sf_dir, min_freq: int = 20) -> DataFrame:
     Word frequencies are a partial (map-side) aggregate, so a hot word costs
     one row per task before the shuffle.
     """
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    d = d.where(F.col("lang") == "en").select("text")
     words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
                  .where(F.col("freq") >= min_freq))
