@@ -34,7 +34,8 @@ def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame
     j = FE.shared_ngrams(j)
     known = V.lexicon(dictionary, prompts)
     mis = V.misspelled_cnt(r, "response_id", "text", known)
-    karp = TF.tfidf_rolling(TF.tfidf_weights(TF.corpus_with_prompts(r, prompts)), r)
+    weights, vocab = TF.tfidf_parts(TF.corpus_with_prompts(r, prompts))
+    karp = TF.tfidf_rolling(weights, r, vocab=vocab)
     out = j.join(mis, "response_id").join(karp, "response_id")
     return out.select("response_id", "prompt_id", *FEATURES)
 
