@@ -157,3 +157,19 @@ def ratio(a, b) -> Column:
 
 def is_number(word) -> Column:
     return F.lower(_c(word)).rlike(NUMBER_PATTERN)
+
+
+# fixed values: rule-based entity patterns (the stand-in for a trained recogniser)
+CAPS_RUN = r"[A-Z][a-z]+( [A-Z][a-z]+)*"
+CAPS_AT_START = r"(^|[.!?]\s+)[A-Z][a-z]+"
+NUMBER_RUN = r"[0-9]+([.,][0-9]+)*"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
+URL = r"https?://[^\s]+"
+
+
+def entity_cnt(text) -> Column:
+    """S12 (re-aimed): capitalised word runs not opening a sentence, numbers,
+    e-mail addresses and URLs."""
+    t = _c(text)
+    n = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), 0))
+    return (n(CAPS_RUN) - n(CAPS_AT_START) + n(NUMBER_RUN) + n(EMAIL) + n(URL)).cast("long")

@@ -66,9 +66,13 @@ def corr_with_targets(df: DataFrame, cols, targets=("content", "wording")) -> Da
     """
     aggs = []
     for c in cols:
+        x = F.col(c).cast("double")
         for t in targets:
-            aggs.append(F.when((F.max(c) > F.min(c)) & (F.max(t) > F.min(t)),
-                               F.corr(F.col(c).cast("double"), F.col(t).cast("double"))).alias(f"{t}__{c}"))
+            y = F.col(t).cast("double")
+            # Pearson as covariance / (std * std); try_divide keeps ANSI mode from
+            # raising on a constant column, which has no correlation
+            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+            aggs.append(F.when((F.max(c) > F.min(c)) & (F.max(t) > F.min(t)), r).alias(f"{t}__{c}"))
     return _unpivot(df.agg(*aggs), cols, list(targets)).withColumnRenamed("column", "feature")
 
 

@@ -84,3 +84,10 @@ def ratio(a: str, b: str) -> str:
 
 def terms(t: str) -> str:
     return f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def entity_cnt(t: str) -> str:
+    from ..functions import text as T
+    n = lambda p: f"len(regexp_extract_all({t}, '{p}'))"
+    return (f"CAST({n(T.CAPS_RUN)} - {n(T.CAPS_AT_START)} + {n(T.NUMBER_RUN)} + {n(T.EMAIL)} + {n(T.URL)} "
+            f"AS BIGINT)")

@@ -106,3 +106,44 @@ def q_field_sequence(spark, sf):
     """L4 as written: per-field sequence of length 65 when padded, 64 when cut."""
     r = FX.responses(spark, sf).select("response_id", BA.field_sequence(BA.basic_tokens("text"), 64).alias("s"))
     return r.select("response_id", F.size("s").alias("seq_len"), F.array_join("s", " ").alias("seq"))
+
+
+TRAIN_SQL = FX.with_views("responses", "prompts", "scores") + r"""
+, lab AS (SELECT response_id, prompt_id FROM responses WHERE response_id IN (SELECT response_id FROM scores))
+, rk0 AS (SELECT *, row_number() OVER (PARTITION BY prompt_id
+           ORDER BY md5(CAST(response_id AS VARCHAR) || '#42'), response_id) AS r,
+         count(*) OVER (PARTITION BY prompt_id) AS n FROM lab)
+, k AS (SELECT *, ceil(n * CAST(0.2 AS DOUBLE)) AS k1 FROM rk0)
+, tr AS (SELECT response_id, prompt_id FROM k WHERE r > k1 + ceil((n - k1) * CAST(0.2 AS DOUBLE)))
+, rk AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5(CAST(response_id AS VARCHAR)), response_id)
+           AS r FROM tr)
+, sizes AS (SELECT prompt_id, count(*) AS n FROM tr GROUP BY prompt_id)
+, ord AS (SELECT *, row_number() OVER (ORDER BY n DESC, prompt_id) AS pos, max(n) OVER () AS most FROM sizes)
+, draws AS (SELECT prompt_id, n, unnest(range(1, most + 1)) AS draw FROM ord WHERE pos > 1)
+, picked AS (SELECT prompt_id, draw, CAST(('0x' || substr(md5(CAST(prompt_id AS VARCHAR) || '#' ||
+               CAST(draw AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % n + 1 AS r FROM draws)
+, os AS (SELECT p.prompt_id, rk.response_id, p.draw FROM picked p JOIN rk USING (prompt_id, r)
+         UNION ALL SELECT rk.prompt_id, rk.response_id, rk.r AS draw FROM rk JOIN ord USING (prompt_id) WHERE pos = 1)
+, toks AS (SELECT os.*, os.prompt_id * 1000000000 + os.draw AS row_key,
+             len(regexp_extract_all('[CLS] ' || p.prompt_question || ' [SEP] ' || r.text || ' [SEP]', '\w+|[^\w\s]'))
+             AS len FROM os JOIN responses r USING (response_id) JOIN prompts p ON p.prompt_id = os.prompt_id)
+, ranked AS (SELECT *, row_number() OVER (ORDER BY len, md5(CAST(row_key AS VARCHAR)), row_key) AS rank FROM toks)
+SELECT prompt_id, draw, response_id, CAST(len AS BIGINT) AS len, rank, (rank - 1) // 8 AS batch_id FROM ranked"""
+
+
+@register("training_set", TRAIN_SQL)
+def q_training_set(spark, sf):
+    """P1 -> P2 on the train part -> S14 -> L1: oversampled, length-batched training rows."""
+    from ..operators import sampling as SA
+    from .q_sampling import labelled_ids
+    split = SA.stratified_split(labelled_ids(spark, sf), "response_id")
+    train = split.where(F.col("part") == "train").select("response_id", "prompt_id")
+    os_ = SA.oversample(train, "response_id").select("prompt_id", "response_id", "draw")
+    txt = FX.responses(spark, sf).select("response_id", "text")
+    q = FX.prompts(spark, sf).select("prompt_id", "prompt_question")
+    rows = os_.join(txt, "response_id").join(q, "prompt_id")
+    rows = rows.select("prompt_id", "draw", "response_id",
+                       (F.col("prompt_id") * 1000000000 + F.col("draw")).alias("row_key"),
+                       F.size(BA.basic_tokens(T.model_input(["prompt_question", "text"]))).cast("long").alias("len"))
+    b = BA.length_batches(rows, "row_key", "len", BS)
+    return b.select("prompt_id", "draw", "response_id", "len", "rank", "batch_id")

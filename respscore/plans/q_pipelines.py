@@ -111,3 +111,35 @@ def q_nonfinite_to_zero(spark, sf):
                          .when(x == 0, F.lit(float("nan"))).otherwise(inf))
     raw = j.select("response_id", ieee(a, b).alias("punct_title_ratio"), ieee(c, d).alias("stopword_title_ratio"))
     return rounded(SC.nonfinite_to_zero(raw))
+
+
+@register("feature_table_v2")
+def q_feature_table_v2(spark, sf):
+    """Pipeline #2: 13 scaled + 2 raw features of the spelling-corrected responses (rows-only check)."""
+    from .feature_table_v2 import feature_table_v2
+    return rounded(feature_table_v2(FX.responses(spark, sf), FX.prompts(spark, sf), FX.dictionary(spark, sf)))
+
+
+SCREEN_FT = RAW_SQL + f"""
+, ft AS (SELECT response_id, prompt_id,
+  {_scaled_sql(FEATURES).replace('round(', '(').replace(', 6) AS', ') AS')} FROM raw)
+, lab AS (SELECT * FROM ft JOIN scores USING (response_id))
+, corr_t AS (""" + "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS feature,
+  CASE WHEN max({c}) > min({c}) AND max(content) > min(content) THEN corr({c}, content) END AS content,
+  CASE WHEN max({c}) > min({c}) AND max(wording) > min(wording) THEN corr({c}, wording) END AS wording FROM lab"""
+    for c in FEATURES) + """)
+SELECT feature, round(content, 6) AS content, round(wording, 6) AS wording,
+  round(round(abs(content) + abs(wording), 5), 6) AS both,
+  coalesce(abs(content) > 0.3 OR abs(wording) > 0.3, false) AS keep_any,
+  coalesce(round(abs(content) + abs(wording), 5) > 0.8, false) AS keep_both FROM corr_t"""
+
+
+@register("screened_features", SCREEN_FT.replace(
+    'WITH responses AS', 'WITH scores AS (' + FX.SQL["scores"] + '),\nresponses AS', 1))
+def q_screened_features(spark, sf):
+    """D7 -> B7 / B8 on the 15-feature table: correlations and both screening flags."""
+    from ..operators import profile as PR
+    ft = feature_table(FX.responses(spark, sf), FX.prompts(spark, sf), FX.dictionary(spark, sf))
+    lab = ft.join(FX.scores(spark, sf), "response_id")
+    return rounded(PR.corr_screen(PR.corr_with_targets(lab, FEATURES)))

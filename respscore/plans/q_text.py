@@ -124,3 +124,27 @@ def q_centre_window(spark, sf):
     win = F.concat(F.slice("a", F.greatest(F.size("a") - 255, F.lit(1)), 256), F.slice("b", 1, 256))
     return t.select("response_id", F.col("centre").cast("long").alias("centre"),
                     F.when(F.col("centre").isNotNull(), F.array_join(win, " ")).alias("window_text"))
+
+
+_scalar("entity_cnt", T.entity_cnt, D.entity_cnt, "entities")
+
+
+@register("pair_features", FX.with_views("pairs") + f"""
+SELECT conv_id, turn, {D.word_cnt('text')} AS text_word_cnt, {D.stopword_cnt('text')} AS text_stopword_cnt,
+  round({D.ratio(D.word_cnt('text'), D.word_cnt('prompt_text'))}, 6) AS text_word_ratio,
+  round({D.ratio(D.char_len('text'), D.char_len('prompt_text'))}, 6) AS text_length_ratio,
+  round({D.ratio(D.punct_cnt('text'), D.punct_cnt('prompt_text'))}, 6) AS text_punct_ratio,
+  round({D.ratio(D.distinct_words(D.clean('text')), D.distinct_words(D.clean('prompt_text')))}, 6)
+    AS text_different_word_ratio
+FROM pairs""")
+def q_pair_features(spark, sf):
+    """Phase-0 features on the second source: assistant turns against the latest user turn."""
+    p = FX.pairs(spark, sf)
+    return rounded(p.select(
+        "conv_id", "turn", T.word_cnt("text").alias("text_word_cnt"),
+        T.stopword_cnt("text").alias("text_stopword_cnt"),
+        T.ratio(T.word_cnt("text"), T.word_cnt("prompt_text")).alias("text_word_ratio"),
+        T.ratio(T.char_len("text"), T.char_len("prompt_text")).alias("text_length_ratio"),
+        T.ratio(T.punct_cnt("text"), T.punct_cnt("prompt_text")).alias("text_punct_ratio"),
+        T.ratio(T.distinct_words(T.clean("text")), T.distinct_words(T.clean("prompt_text")))
+        .alias("text_different_word_ratio")))
