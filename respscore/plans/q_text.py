@@ -148,3 +148,13 @@ def q_pair_features(spark, sf):
         T.ratio(T.punct_cnt("text"), T.punct_cnt("prompt_text")).alias("text_punct_ratio"),
         T.ratio(T.distinct_words(T.clean("text")), T.distinct_words(T.clean("prompt_text")))
         .alias("text_different_word_ratio")))
+
+
+@register("subword_len")
+def q_subword_len(spark, sf):
+    """Sub-word length of each response by greedy longest match (rows-only check)."""
+    from ..operators import batching as BA
+    from ..operators import subword as SW
+    vocab = SW.wordpiece_vocab(FX.dictionary(spark, sf))
+    r = FX.responses(spark, sf).select("response_id", BA.basic_tokens("text").alias("tok"))
+    return SW.subword_len(r, "response_id", "tok", vocab, out="tokenized_text_len")

@@ -148,3 +148,13 @@ def test_gram_sums_match_refit(spark):
         X = np.c_[np.ones(len(tr)), tr[:, :2]]; Xv = np.c_[np.ones(len(va)), va[:, :2]]
         rm = [np.sqrt(np.mean((va[:, k] - Xv @ np.linalg.lstsq(X, tr[:, k], rcond=None)[0]) ** 2)) for k in (2, 3)]
         assert abs(got[g] - np.mean(rm)) < 1e-8
+
+
+def test_subword_greedy(spark):
+    from respscore.operators import subword as SW
+    vocab = spark.createDataFrame([(p,) for p in ["un", "##aff", "##able", "u", "##n", "##a", "##f", "##b",
+                                                   "##l", "##e", "a", "b"]], "piece string")
+    words = spark.createDataFrame([("unaffable",), ("ab",), ("zz",)], "word string")
+    got = {r["word"]: r["pieces"] for r in SW.segment_counts(words, vocab).collect()}
+    # un ##aff ##able = 3; a ##b = 2; no piece covers "z" -> one unknown token
+    assert got == {"unaffable": 3, "ab": 2, "zz": 1}
