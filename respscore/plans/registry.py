@@ -42,4 +42,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from . import (q_text, q_ngrams, q_tfidf, q_vocab, q_profile, q_sampling,  # noqa: F401
-                   q_batching, q_vectors, q_metrics, q_model, q_io, q_pipelines)
+                   q_batching, q_vectors, q_metrics, q_model, q_io, q_pipelines, q_streaming)
