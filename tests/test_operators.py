@@ -158,3 +158,22 @@ def test_subword_greedy(spark):
     got = {r["word"]: r["pieces"] for r in SW.segment_counts(words, vocab).collect()}
     # un ##aff ##able = 3; a ##b = 2; no piece covers "z" -> one unknown token
     assert got == {"unaffable": 3, "ab": 2, "zz": 1}
+
+
+def test_bucketed_scans_match_windows(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(11)
+    rows = [(r, s, rnd.random()) for r in range(5) for s in range(1, 60)]
+    df = spark.createDataFrame(rows, "run long, step long, v double")
+    w = Window.partitionBy("run").orderBy("step")
+    want = df.select("run", "step",
+                     F.min("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("mn"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sm"),
+                     F.lag("v").over(w).alias("lg"))
+    got = ME.running(df, ["run"], "step", F.col("v"), "min", "mn", inclusive=False, bits=2)
+    got = ME.running(got, ["run"], "step", F.col("v"), "sum", "sm", bits=2)
+    got = ME.previous_value(got, ["run"], "step", "v", "lg", bits=2)
+    a = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in got.collect()}
+    b = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in want.collect()}
+    assert a == b
