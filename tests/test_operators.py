@@ -177,3 +177,14 @@ def test_bucketed_scans_match_windows(spark):
     a = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in got.collect()}
     b = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in want.collect()}
     assert a == b
+
+
+def test_exact_quantiles_small_buckets(spark):
+    import numpy as np
+    from respscore.operators import profile as PR
+    rnd = np.random.default_rng(5)
+    vals = list(rnd.normal(size=500)) + [3.0] * 200 + [float(i) for i in range(40)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = {r["q"]: r["value"] for r in PR.exact_quantiles(df, ["x"], (0.1, 0.25, 0.5, 0.75, 0.99), buckets=7).collect()}
+    for q, v in got.items():
+        assert abs(v - float(np.quantile(vals, q))) < 1e-9
