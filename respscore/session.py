@@ -60,10 +60,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One write pass (an unpersisted ``checkpoint()`` would compute the plan twice),
+    columnar and compressed, and it survives executor loss: later stages
+    restart from the table, not from the source text.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def sf_dir_default() -> str:
