@@ -7,7 +7,7 @@ in ``SQL`` for the DuckDB oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_PROMPTS = 40
@@ -58,10 +58,11 @@ def scores(spark, sf_dir) -> DataFrame:
 
 def pairs(spark, sf_dir) -> DataFrame:
     """conv_id, turn, text, prompt_text: assistant turn with latest earlier user turn."""
+    from ..operators.metrics import running
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    a = (c.withColumn("uturn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w))
-          .where(F.col("role") == "assistant"))
+    # latest earlier user turn = running max before the turn (bucketed prefix scan)
+    a = running(c, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("turn")), "max", "uturn",
+                inclusive=False).where(F.col("role") == "assistant")
     u = c.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("uturn"),
                                                 F.col("text").alias("prompt_text"))
     return a.join(u, ["conv_id", "uturn"]).select("conv_id", "turn", "text", "prompt_text")
