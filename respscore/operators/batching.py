@@ -38,10 +38,8 @@ def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
     Returns (batch_id, batch_pos) with 1-based positions.
     """
     b = batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
-    last = b.agg(F.max("batch_id").alias("_last")).withColumn("_k", F.lit(1))
-    # one-row table: broadcasting it is bounded by construction
-    b = b.withColumn("_k", F.lit(1)).join(F.broadcast(last), "_k").drop("_k")
-    b = b.withColumn("_is_last", (F.col("batch_id") == F.col("_last")).cast("int")).withColumn(
+    last = b.agg(F.max("batch_id")).scalar()  # uncorrelated scalar subquery, no join
+    b = b.withColumn("_is_last", (F.col("batch_id") == last).cast("int")).withColumn(
         "_h", hex_hash("batch_id", seed=seed))
     r = rank_within(b, order=["_is_last"], bucket=F.substring("_h", 1, 3), fine=["_h", "batch_id"],
                     out="batch_pos")

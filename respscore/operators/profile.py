@@ -129,18 +129,15 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
     Every bin is reported, empty ones with count 0.
     """
-    stats = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"))
-    width = (F.col("mx") - F.col("mn")) / bins
-    edges = stats.select("mn", "mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    edges = edges.select("bin", (F.col("mn") + F.col("bin") * width).alias("lo"),
-                         (F.col("mn") + (F.col("bin") + 1) * width).alias("hi"), "mn", "mx")
+    # global min / max as uncorrelated scalar subqueries (computed once, no join)
+    mn = df.agg(F.min(col).cast("double")).scalar()
+    mx = df.agg(F.max(col).cast("double")).scalar()
+    width = (mx - mn) / bins
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    edges = edges.select("bin", (mn + F.col("bin") * width).alias("lo"), (mn + (F.col("bin") + 1) * width).alias("hi"))
     x = F.col(col).cast("double")
-    b = F.when(F.col("mx") > F.col("mn"),
-               F.least(F.floor((x - F.col("mn")) * bins / (F.col("mx") - F.col("mn"))), F.lit(bins - 1))
-               ).otherwise(F.lit(0))
-    # the stats table has exactly one row: broadcasting it is bounded by construction
-    counts = (df.select(col).where(F.col(col).isNotNull()).withColumn("_k", F.lit(1))
-                .join(F.broadcast(stats.withColumn("_k", F.lit(1))), "_k"))
-    counts = counts.select(b.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    b = F.when(mx > mn, F.least(F.floor((x - mn) * bins / (mx - mn)), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = (df.where(F.col(col).isNotNull()).select(b.cast("int").alias("bin"))
+                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     return (edges.join(counts, "bin", "left")
                  .select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
