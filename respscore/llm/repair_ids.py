@@ -1,6 +1,6 @@
 """Token ids in files under Re-Pair grammar compression.
 
-Documents are range-partitioned by ``doc_id``; each partition is a shard, written as blocks of about a
+Documents are range-partitioned by ``doc_id``; each partition is a shard, written as blocks of about a quarter
 million ids.  In a block, pairs of neighbouring ids that occur often are replaced by a new id (a
 nonterminal), again and again; the rules and the length of each nonterminal's expansion are
 stored beside the shortened sequence, so a reader finds any document by the running sum of
@@ -32,12 +32,12 @@ from respscore.llm.tokens import tokenizer_path, worker_encoder
 from respscore.session import scratch_path
 
 END_ID = 2
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 SCHEMA = ("shard int, block int, first long, n_ids long, doc_ids binary, doc_null binary, doc_lengths binary, "
           "base long, rules binary, lengths binary, sequence binary")
 
 
-def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: int = 4096, at_least: int = 8):
+def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: int = 2048, at_least: int = 8):
     """Re-Pair: (sequence, rules, lengths).  Nonterminal ``base + k`` stands for the pair ``rules[k]``.
 
     One round counts all pairs by sorting, takes up to ``per_round`` of the most frequent, and replaces their places

@@ -9,16 +9,26 @@ white space, strings of special tokens) go to the library whole.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 from array import array
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: White space other than the ASCII kind, as UTF-8, and the control characters that some classes count in.
-ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+#: White space in Unicode's wider sense, as UTF-8, and the start of special strings; such pieces are never remembered.
+ODD = re.compile(rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 #: A cut before a blank or line feed inside white space is safe only if it is the last one before a word.
-UNSAFE = re.compile(rb"[ \t-\r][ \n](?:[ \t-\r]|$)")
+UNSAFE = re.compile(rb"[ \n][ \n](?:[ \n]|$)")
+
+#: Letters of ASCII and Latin-1 in UTF-8, and ASCII marks.
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
+#: others take the code points from 256 on, in order.
+BYTE_CHARS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,63 +39,95 @@ class PieceEncoder:
     """Encodes texts given as UTF-8 bytes to little-endian unsigned 32-bit ids.
 
     ``drops_space``: the tokenizer drops white space, so any ASCII white space is a cut; else
-    (byte-level) a piece starts with the blank or line feed before its word.  ``cache_size`` bounds the
-    pieces remembered in a Python worker: beyond it only those of the last batch stay.
+    (byte-level) a piece starts with the blank or line feed before its word, and its key leaves out the blank.
+    ``cache_size`` bounds the pieces remembered in a Python worker: beyond it only those of the last batch stay.
     """
 
-    def __init__(self, path: str, drops_space: bool, cache_size: int = 500_000):
+    def __init__(self, path: str, drops_space: bool, cache_size: int = 1_000_000):
         self.library = Tokenizer.from_file(path)
         self.drops_space, self.cache_size = drops_space, cache_size
         self.cache: dict[bytes, bytes] = {}
-        self.marks = dict(zip((b".", b","), self.whole([b".", b","])))
+        self.model = self.library.model
+        self.feed, = self.whole([b"\n"])
+        self.tails: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        found = self.library.encode_batch_fast([str(t, "utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def cuts(self, text: bytes) -> list[bytes] | None:
-        """The pieces of a text, or None if it has to be encoded whole."""
+    def cuts(self, text: bytes) -> list[bytes]:
+        """Keys of the pieces of a text; the byte-level kind's first piece is apart (``head``)."""
         if self.drops_space:
             return text.split()
-        if b"<|" in text or UNSAFE.search(text) or not text.isascii() and ODD_SPACE.search(text) \
-                or len(text.translate(None, b"\x1c\x1d\x1e\x1f")) != len(text):
-            return None
-        first, *rest = text.replace(b"\n", b" \n").split(b" ")
-        # the key of a piece is the piece itself, but for its leading blank; a first piece without one gets a mark
-        return [b"\x00" + first, *rest] if first else rest
-
-    def piece(self, key: bytes) -> bytes:
-        if self.drops_space or key[:1] == b"\n":
-            return key
-        return key[1:] if key[:1] == b"\x00" else b" " + key
-
-    def stem(self, key: bytes) -> tuple[bytes, bytes]:
-        """A piece as (piece, closing mark): one full stop or comma after an ASCII letter is a unit of its own."""
-        if key[-1:] in (b".", b",") and key[-2:-1].isalpha():
-            return key[:-1], key[-1:]
-        return key, b""
-
-    def learn(self, missing: set[bytes]) -> None:
-        """Encode new pieces; of pieces that differ in a closing mark the library sees one."""
-        cache, parts = self.cache, {k: self.stem(k) for k in missing}
-        new = [k for k in {x for x, _ in parts.values()} if k not in cache]
-        cache.update(zip(new, self.whole([self.piece(k) for k in new])))
-        for k, (x, mark) in parts.items():
-            if mark:
-                cache[k] = cache[x] + self.marks[mark]
+        return text.replace(b"\n", b" \n").split(b" ")[1:]
+
+    def head(self, text: bytes) -> bytes:
+        """The first piece of the byte-level kind: what stands before the first blank or line feed."""
+        return b"" if self.drops_space else re.split(rb"[ \n]", text, maxsplit=1)[0]
+
+    def word(self, letters: bytes, blank: bool) -> bytes:
+        """Ids of a run of Latin letters, which is one unit of the tokenizer's merges."""
+        if self.drops_space:
+            letters = letters.lower() if letters.isascii() else letters.decode().lower().encode()
+        unit = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + unit if blank and not self.drops_space else unit)]).tobytes()
+
+    def tail(self, marks: bytes) -> bytes:
+        """Ids of a run of ASCII marks behind a letter, a unit of its own."""
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks], = self.whole([marks])
+        return self.tails[marks]
+
+    def learn(self, missing: set[bytes]) -> set[bytes]:
+        """Encode and remember new pieces; returns those that are no plain words.
+
+        Letters with marks behind them go straight to the library's merges, unit by unit; so does a word after a
+        line feed.  All else goes through the whole library.
+        """
+        cache, odd, other = self.cache, set(), []
+        for k in missing:
+            bare = k.rstrip(MARKS)
+            if (bare.isalpha() or LATIN.fullmatch(bare)) and b"<|" not in k:
+                if bare not in cache:
+                    cache[bare] = self.word(bare, True)
+                if bare is not k:
+                    cache[k] = cache[bare] + self.tail(k[len(bare):])
+            elif not k or k == b"\n" or ODD.search(k):
+                odd.add(k)
+            elif bare[:1] == b"\n" and bare[1:].isalpha():
+                cache[k] = self.feed + self.word(bare[1:], False) + (self.tail(k[len(bare):]) if len(bare) < len(k) else b"")
+            else:
+                other.append(k)
+        cache.update(zip(other, self.whole(other if self.drops_space else [k if k[:1] == b"\n" else b" " + k for k in other])))
+        return odd
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        get = self.cache.get
         pieces = [self.cuts(t) for t in texts]
-        if not self.drops_space:  # a text may hold the mark of a first piece itself
-            pieces = [None if p and b"\x00" in t else p for t, p in zip(texts, pieces)]
-        every = lambda: itertools.chain.from_iterable(p for p in pieces if p)
-        if missing := set(itertools.filterfalse(self.cache.__contains__, every())):
-            if len(self.cache) + len(missing) > self.cache_size:
-                self.cache = {k: self.cache[k] for k in set(every()) - missing}
-            self.learn(missing)
-        whole = iter(self.whole([t for t, p in zip(texts, pieces) if p is None]))
-        at = self.cache.__getitem__
-        return [next(whole) if p is None else b"".join(map(at, p)) for p in pieces]
+        found = [list(map(get, p)) for p in pieces]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        odd = self.learn({p[i] for p, g in zip(pieces, gaps) for i in g})
+        heads = [b""] * len(texts) if self.drops_space else self.whole([self.head(t) for t in texts])
+        whole, out = [], []
+        for text, p, f, g, head in zip(texts, pieces, found, gaps, heads):
+            if odd and any(p[i] in odd for i in g) or not self.drops_space and ODD.search(self.head(text)):
+                if ODD.search(text) and not (self.drops_space and b"<|" not in text) or not self.drops_space and UNSAFE.search(text):
+                    out.append(None)
+                    whole.append(text)
+                    continue
+                own = [k for k in {p[i] for i in g} if k in odd]
+                own = dict(zip(own, self.whole([k if self.drops_space or k[:1] == b"\n" else b" " + k for k in own])))
+            else:
+                own = {}
+            for i in g:
+                f[i] = own[p[i]] if p[i] in own else self.cache[p[i]]
+            out.append(head + b"".join(f))
+        rest = iter(self.whole(whole))
+        if len(self.cache) > self.cache_size:
+            self.cache = {k: self.cache[k] for k in set(itertools.chain.from_iterable(pieces)) if k in self.cache}
+        return [next(rest) if x is None else x for x in out]
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
