@@ -67,22 +67,22 @@ def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: i
         order = np.argsort(-counts, kind="stable")
         values, counts = values[order], counts[order]
         # a table by hash: of pairs that share a place the most frequent one is replaced in this round
-        place = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        table = np.full(1 << 16, -1, np.int64)
+        place = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).view(np.int64)
+        none = len(values)
+        table = np.full(1 << 16, none, np.int32)
         places = place(values)
-        table[places[::-1]] = np.arange(len(values))[::-1]
-        alive = table[places] == np.arange(len(values))
-        rank = table[place(pairs)]
-        rank[values[rank] != pairs] = -1
-        rank[rank < 0] = len(values)
-        left = np.concatenate(([len(values)], rank[:-1]))
-        right = np.concatenate((rank[1:], [len(values)]))
-        at = np.flatnonzero((rank < len(values)) & (rank < left) & (rank <= right))
-        used = np.flatnonzero(alive)
-        number = np.zeros(len(values) + 1, np.int64)
+        table[places[::-1]] = np.arange(none, dtype=np.int32)[::-1]
+        used = np.flatnonzero(table[places] == np.arange(none))
+        rank = np.full(len(pairs) + 2, none, np.int32)  # one place more on either side
+        rank[1:-1] = table[place(pairs)]
+        rank[1:-1][np.append(values, -2)[rank[1:-1]] != pairs] = none
+        at = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < none))
+        number = np.zeros(none, np.int64)
         number[used] = len(size) + np.arange(len(used))
-        sequence[at] = number[rank[at]]
-        sequence = np.delete(sequence, at + 1)
+        sequence[at] = number[rank[1:-1][at]]
+        keep = np.ones(len(sequence), bool)
+        keep[at + 1] = False
+        sequence = sequence[keep]
         new = np.stack((values[used] >> 32, values[used] & 0xFFFFFFFF), 1)
         rules = np.concatenate((rules, new))
         lengths = np.concatenate((lengths, size[new[:, 0]] + size[new[:, 1]]))
@@ -91,21 +91,13 @@ def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: i
     return sequence, rules, lengths
 
 
-def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def expansions(base: int, rules: np.ndarray) -> np.ndarray:
     """All nonterminals' expansions one after the other; a rule only uses earlier ones."""
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.empty(starts[-1], np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        o = starts[k]
-        for x in (a, b):
-            if x < base:
-                flat[o] = x
-                o += 1
-            else:
-                n = lengths[x - base]
-                flat[o:o + n] = flat[starts[x - base]:starts[x - base] + n]
-                o += n
-    return flat
+    done: list[bytes] = []
+    for a, b in rules.tolist():
+        done.append((a.to_bytes(4, "little") if a < base else done[a - base])
+                    + (b.to_bytes(4, "little") if b < base else done[b - base]))
+    return np.frombuffer(b"".join(done), "<u4")
 
 
 class Block:
@@ -116,7 +108,7 @@ class Block:
         rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
         lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.sequence = np.frombuffer(row["sequence"], "<u2" if self.base + len(rules) <= 1 << 16 else "<u4").astype(np.int64)
-        self.flat = expansions(self.base, rules, lengths)
+        self.flat = expansions(self.base, rules)
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
         long = self.sequence >= self.base
         self.size = np.ones(len(self.sequence), np.int64)

@@ -58,7 +58,8 @@ class PieceEncoder:
     def cuts(self, text: bytes) -> list[bytes]:
         """Keys of the pieces of a text; the byte-level kind's first piece is apart (``head``)."""
         if self.drops_space:
-            return text.split()
+            # A-Z are lower-cased early, unless a special string or a combining accent (U+0300-U+033F) is near
+            return (text if b"<|" in text or b"\xcc" in text else text.lower()).split()
         return text.replace(b"\n", b" \n").split(b" ")[1:]
 
     def head(self, text: bytes) -> bytes:
