@@ -2,11 +2,12 @@
 
 from respscore.llm.fair_mix import OP4_SQL, op4_fair_mix
 from respscore.llm.license_scan import op9_license_scan
+from respscore.llm.neighbour_quality import op7_neighbour_quality
 from respscore.llm.packing import op5_packing
 from respscore.llm.repair_ids import op2_token_files
 from respscore.llm.rule_ledger import OP1_SQL, op1_rule_ledger
 from respscore.llm.token_cache import op8_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_token_files, op4_fair_mix, op5_packing, op8_token_counts,
-                                    op9_license_scan)}
+                                    op7_neighbour_quality, op9_license_scan)}
 ORACLES = {"op1_rule_ledger": OP1_SQL, "op4_fair_mix": OP4_SQL}
