@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +46,18 @@ def small_batches(batches, max_bytes: int = 4 << 20, max_rows: int = 2000, size:
             yield batch.slice(begin)
 
 
+@contextmanager
+def arrow_rows_at_once(spark: SparkSession, rows: int):
+    """While a step with wide rows runs, pass them to Python in Arrow batches of so many rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver to collect garbage, so that Spark removes the shuffle files of finished steps."""
     gc.collect()

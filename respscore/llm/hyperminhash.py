@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respscore.llm.common import arrow_rows, components, release, small_batches
+from respscore.llm.common import arrow_rows, arrow_rows_at_once, components, release, small_batches
 from respscore.session import cut_lineage
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ CHANCE = 2.0 ** -MANTISSA / 3
 #: An estimate this far below the threshold (4.5 standard deviations) rules a pair out.
 LEAST_ESTIMATE = PERCENT / 100 - 4.5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 BLOCK = 1000
+#: Rows with whole sets that pass to Python at once.
+WIDE_ROWS = 256
 
 _rng = np.random.default_rng(20)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,13 +190,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "digest")
     sets = (texts.select("digest", "text").join(wanted, "digest").select("node", "text")
             .mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    sets = cut_lineage(sets.join(nodes.select("node", "sketch"), "node"), "hmh-set")
+    with arrow_rows_at_once(spark, WIDE_ROWS):
+        sets = cut_lineage(sets.join(nodes.select("node", "sketch"), "node"), "hmh-set")
     release(spark)
 
     pairs = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"))
-    links = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-                        .mapInArrow(_verified, "a long, b long"), "hmh-link")
+    with arrow_rows_at_once(spark, WIDE_ROWS):
+        links = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+                            .mapInArrow(_verified, "a long, b long"), "hmh-link")
     release(spark)
     first = components(links, "hmh-first")
 
@@ -209,7 +213,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
             .select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
     more = rows.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(lambda group: _across(group), "a long, b long")
-    links = links.union(cut_lineage(more, "hmh-more"))
+    with arrow_rows_at_once(spark, WIDE_ROWS):
+        links = links.union(cut_lineage(more, "hmh-more"))
     final = components(links, "hmh-final")
 
     roots = nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -105,15 +105,15 @@ class Block:
 
     def __init__(self, row: dict):
         self.base = row["base"]
-        rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-        lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.sequence = np.frombuffer(row["sequence"], "<u2" if self.base + len(rules) <= 1 << 16 else "<u4").astype(np.int64)
+        rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+        lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int32)
+        self.sequence = np.frombuffer(row["sequence"], "<u2" if self.base + len(rules) <= 1 << 16 else "<u4").astype(np.int32)
         self.flat = expansions(self.base, rules)
-        self.starts = np.concatenate(([0], np.cumsum(lengths)))
+        self.starts = np.cumsum(lengths, dtype=np.int32) - lengths
         long = self.sequence >= self.base
-        self.size = np.ones(len(self.sequence), np.int64)
+        self.size = np.ones(len(self.sequence), np.int32)
         self.size[long] = lengths[self.sequence[long] - self.base]
-        self.end = np.cumsum(self.size)
+        self.end = np.cumsum(self.size, dtype=np.int64)
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """``length`` ids from position ``start``, expanding only the symbols that cover them."""
@@ -121,11 +121,11 @@ class Block:
             return np.empty(0, np.uint32)
         i, j = np.searchsorted(self.end, [start, start + length - 1], side="right")
         part, size = self.sequence[i:j + 1], self.size[i:j + 1]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        symbol = np.repeat(part, size)
-        out = symbol.astype(np.uint32)
-        long = symbol >= self.base
-        out[long] = self.flat[self.starts[symbol[long] - self.base] + inside[long]]
+        out = np.repeat(part, size).view(np.uint32)
+        long = np.flatnonzero(part >= self.base)
+        size_long, before = size[long], (np.cumsum(size, dtype=np.int32) - size)[long]
+        step = np.arange(size_long.sum(), dtype=np.int32) - np.repeat(np.cumsum(size_long, dtype=np.int32) - size_long, size_long)
+        out[np.repeat(before, size_long) + step] = self.flat[np.repeat(self.starts[part[long] - self.base], size_long) + step]
         skip = start - (self.end[i] - self.size[i])
         return out[skip:skip + length]
 

@@ -104,14 +104,24 @@ class PieceEncoder:
         cache.update(zip(other, self.whole(other if self.drops_space else [k if k[:1] == b"\n" else b" " + k for k in other])))
         return odd
 
+    @staticmethod
+    def gaps(found: list) -> list[int]:
+        out, i = [], -1
+        try:
+            while True:
+                i = found.index(None, i + 1)
+                out.append(i)
+        except ValueError:
+            return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         get = self.cache.get
         pieces = [self.cuts(t) for t in texts]
         found = [list(map(get, p)) for p in pieces]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        gaps = [self.gaps(f) for f in found]
         odd = self.learn({p[i] for p, g in zip(pieces, gaps) for i in g})
         heads = [b""] * len(texts) if self.drops_space else self.whole([self.head(t) for t in texts])
-        whole, out = [], []
+        whole, out, at = [], [], self.cache.__getitem__
         for text, p, f, g, head in zip(texts, pieces, found, gaps, heads):
             if odd and any(p[i] in odd for i in g) or not self.drops_space and ODD.search(self.head(text)):
                 if ODD.search(text) and not (self.drops_space and b"<|" not in text) or not self.drops_space and UNSAFE.search(text):
@@ -120,10 +130,11 @@ class PieceEncoder:
                     continue
                 own = [k for k in {p[i] for i in g} if k in odd]
                 own = dict(zip(own, self.whole([k if self.drops_space or k[:1] == b"\n" else b" " + k for k in own])))
+                for i in g:
+                    f[i] = own[p[i]] if p[i] in own else at(p[i])
             else:
-                own = {}
-            for i in g:
-                f[i] = own[p[i]] if p[i] in own else self.cache[p[i]]
+                for i in g:
+                    f[i] = at(p[i])
             out.append(head + b"".join(f))
         rest = iter(self.whole(whole))
         if len(self.cache) > self.cache_size:
