@@ -157,7 +157,7 @@ def similar_vectors(vectors: DataFrame) -> DataFrame:
     payload = data.select("node", "members", "vector", "projections")
     with arrow_rows_at_once(spark, WIDE_ROWS):
         met = cut_lineage(placed.join(payload, "node").groupBy(*cell, "lo", "hi")
-                          .applyInArrow(lambda group: _met(group), "node long, links long, root long"), "cc-met")
+                          .applyInArrow(_met, "node long, links long, root long"), "cc-met")
     release(spark)
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")), "cc")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), n_blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
             .select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
-    more = rows.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(lambda group: _across(group), "a long, b long")
+    more = rows.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(_across, "a long, b long")
     with arrow_rows_at_once(spark, WIDE_ROWS):
         links = links.union(cut_lineage(more, "hmh-more"))
     final = components(links, "hmh-final")

@@ -153,7 +153,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, n_open: int = OPEN_WI
     rows = cut_lineage(id_text(docs).mapInArrow(partition, OPEN_SQL), "packing")
     columns = ARROW.names
     leftovers = rows.where("ids is not null").withColumn("grp", F.floor(F.col("part") / MERGED))
-    late = leftovers.groupBy("grp").applyInArrow(lambda group: merged(group), PIECE)
+    late = leftovers.groupBy("grp").applyInArrow(merged, PIECE)
     return rows.where("ids is null").select(*columns).union(late.select(*columns))
 
 
