@@ -7,10 +7,10 @@ our own is set only when the setting is absent (tests, local runs).
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,21 +46,29 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """The folder of intermediate tables: the checkpoint folder that the session names.
+
+    Executors of a cluster read each other's files there, so a machine-local folder is only ever made for a
+    ``local`` master; on any other one a missing setting is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="respscore-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    folder = spark.conf.get("spark.checkpoint.dir", None) or local_folder(sc.master)
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
 
+def local_folder(master: str) -> str:
+    """A folder of this machine, for a master that runs all tasks here."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master!r} it has to name a folder "
+                           "that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="respscore-ckpt-")
 
-def cut_lineage(df, name: str = "stage"):
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     One write pass (an unpersisted ``checkpoint()`` would compute the plan twice),
@@ -70,15 +78,31 @@ def cut_lineage(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table.scratch_folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut_lineage`` that nothing reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.scratch_folder)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove every intermediate table of this session; for the end of a run."""
+    remove_folder(spark, _scratch_root(spark))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/respscore-io"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
-    import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/respscore-io/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
