@@ -19,8 +19,8 @@ its string is.  Memory is bounded by a block of texts and by a bucket, whose siz
 
 Defined results: a null text is empty; texts below LENGTH bytes keep all, but count in ``n_bytes``; texts of any length are
 read whole, in segments; copies of a text of at least LENGTH bytes lose everything; repeated rows are copies; an empty
-table gives an empty result; only ``doc_id`` and ``text`` are read.  Fingerprints of 64 bits (54 or more in the
-sample, where a collision only adds work): a chance collision is of the order of (tied suffixes ** 2) / 2 ** 65.
+table gives an empty result; only ``doc_id`` and ``text`` are read.  Fingerprints of 61 bits (53 in the
+sample, where a collision only adds work): a chance collision is of the order of (tied suffixes ** 2) / 2 ** 62.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respscore.llm.common import arrow_rows, arrow_rows_at_once, release, shuffle_width, small_batches
-from respscore.session import cut_lineage
+from respscore.session import cut_lineage, discard
 
 LENGTH = 200
 PERIOD = 133
@@ -108,22 +108,22 @@ def kept_bytes(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def _distinct(batches):
-    """Each text once, with its block and its place in it."""
+    """Each text once, with its block and its place in it; ``starts`` stay beside it."""
     part, seen = TaskContext.get().partitionId() << 32, set()
     block = place = 0
     for batch in small_batches(batches):
         rows = []
-        for digest, text in arrow_rows(batch, "digest", "text"):
+        for digest, text, starts in arrow_rows(batch, "digest", "text", "starts"):
             if digest in seen:
                 continue
             seen.add(digest)
             if place and place + len(text) > BLOCK_BYTES:
                 block, place = block + 1, 0
-            rows.append((digest, part + block, place, text))
+            rows.append((digest, part + block, place, text, starts))
             place += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
-                                          pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-                                         names=["digest", "block", "place", "text"])
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                         names=["digest", "block", "place", "text", "starts"])
 
 
 def _first_in_task(batches):
@@ -167,8 +167,10 @@ def records(n_buckets: int, width: int, depth: int, choose):
             if len(part):
                 data = marks[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
                 step = np.diff(places[part], prepend=0)
-                yield (int(bucket[part[0]]), block, data.tobytes(),
-                       b"\x02" + step.astype("<u2").tobytes() if step.max() < 1 << 16 else b"\x08" + step.astype("<u8").tobytes())
+                # steps byte by byte of equal weight: the upper ones are mostly zero, and compress
+                size = 2 if step.max() < 1 << 16 else 8
+                step = step.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+                yield int(bucket[part[0]]), block, data.tobytes(), bytes([size]) + step.tobytes()
 
     def run(batches):
         now, marks, places = None, [], []
@@ -189,6 +191,11 @@ def records(n_buckets: int, width: int, depth: int, choose):
     return run
 
 
+def _steps(data: bytes) -> np.ndarray:
+    size = data[0]
+    return np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T.copy().view(f"<u{size}")[:, 0].astype(np.int64)
+
+
 def _bucket(width: int):
     """Function for applyInArrow: sort one bucket, and return the places of fingerprints that several blocks have."""
     def run(group: pa.Table) -> pa.Table:
@@ -199,7 +206,7 @@ def _bucket(width: int):
         marks = np.zeros((len(data), 8), np.uint8)
         marks[:, :width] = data
         marks = marks.view("<u8")[:, 0]
-        places = np.concatenate([np.empty(0, np.int64)] + [np.cumsum(np.frombuffer(r["places"], f"<u{r['places'][0]}", offset=1).astype(np.int64)) for r in rows])
+        places = np.concatenate([np.empty(0, np.int64)] + [np.cumsum(_steps(r["places"])) for r in rows])
         order = np.argsort(marks, kind="stable")
         same = marks[order][1:] == marks[order][:-1]
         shared = np.zeros(len(marks), bool)
@@ -256,18 +263,21 @@ def removals(docs: DataFrame) -> DataFrame:
     """(digest, n_removed, n_spans, kept_sha256, spans) of the texts that lose something, copies left aside."""
     spark = docs.sparkSession
     long = keyed(docs).where(F.col("n_bytes") >= LENGTH)
+    schema = "digest binary, block long, place long, text binary, starts binary"
     texts = (long.select("digest", "text").mapInArrow(_first_in_task, "digest binary, text binary")
-             .repartition(shuffle_width(spark), "digest").mapInArrow(_distinct, "digest binary, block long, place long, text binary"))
+             .repartition(shuffle_width(spark), "digest").withColumn("starts", F.lit(None).cast("binary")).mapInArrow(_distinct, schema))
     texts = cut_lineage(texts, "cover-texts")
     release(spark)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     with arrow_rows_at_once(spark, 2000):
-        none = texts.withColumn("starts", F.lit(None).cast("binary"))
-        sample = repeated_starts(none, n_buckets, 6, SAMPLE, lambda n, _: sampled(n))
-        open_texts = cut_lineage(texts.join(sample, "digest"), "cover-open")
+        sample = repeated_starts(texts, n_buckets, 6, SAMPLE, lambda n, _: sampled(n))
+        # the texts that are left get new blocks, so that the rows of a block stand together
+        open_texts = cut_lineage(texts.drop("starts").join(sample, "digest").select("digest", "text", "starts").mapInArrow(_distinct, schema),
+                                 "cover-open")
+        discard(texts, sample)
         release(spark)
-        starts = repeated_starts(open_texts, n_buckets, 8, LENGTH, tied)
+        starts = repeated_starts(open_texts, n_buckets, 7, LENGTH, tied)
         found = open_texts.select("digest", "text").join(starts, "digest").mapInArrow(
             _removed, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans binary")
         return cut_lineage(found, "cover-removed")
