@@ -44,7 +44,7 @@ SAMPLE = LENGTH - PERIOD + 1
 assert len({(a - b) % PERIOD for a in COVER for b in COVER}) == PERIOD
 
 #: Bytes of text in a block, in a segment that is fingerprinted at once, and for each bucket.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SEGMENT = 1 << 18
 BUCKET_BYTES = 16 << 20
 
@@ -107,6 +107,30 @@ def kept_bytes(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Ascending places as steps, byte by byte of equal weight: the upper ones are mostly zero, and compress."""
+    step = np.diff(places, prepend=0)
+    size = 2 if not len(step) or step.max() < 1 << 16 else 8
+    return bytes([size]) + step.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = data[0]
+    step = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T.copy().view(f"<u{size}")
+    return np.cumsum(step.ravel().astype(np.int64))
+
+
+def as_runs(places: np.ndarray) -> bytes:
+    """Ascending distinct places as pairs of first place and length of each run of neighbours."""
+    first = np.flatnonzero(np.diff(places, prepend=places[0] - 2) > 1)
+    return np.stack((places[first], np.diff(np.append(first, len(places)))), 1).astype("<i8").tobytes()
+
+
+def from_runs(data: bytes) -> np.ndarray:
+    first, size = np.frombuffer(data, "<i8").reshape(-1, 2).T
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 def _distinct(batches):
     """Each text once, with its block and its place in it; ``starts`` stay beside it."""
     part, seen = TaskContext.get().partitionId() << 32, set()
@@ -157,7 +181,7 @@ def records(n_buckets: int, width: int, depth: int, choose):
         size = np.diff(np.append(np.flatnonzero(first), len(ordered)))
         repeated = np.repeat(size > 1, size)
         if repeated.any():
-            yield block % n_buckets, block, b"", places[order[repeated]].astype("<i8").tobytes()
+            yield block % n_buckets, block, b"", packed(np.sort(places[order[repeated]]))
         one = np.sort(order[first])
         marks, places = marks[one], places[one]
         bucket = ((marks >> np.uint64(44)) % np.uint64(n_buckets)).astype(np.int64)
@@ -167,10 +191,7 @@ def records(n_buckets: int, width: int, depth: int, choose):
             if len(part):
                 data = marks[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
                 step = np.diff(places[part], prepend=0)
-                # steps byte by byte of equal weight: the upper ones are mostly zero, and compress
-                size = 2 if step.max() < 1 << 16 else 8
-                step = step.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
-                yield int(bucket[part[0]]), block, data.tobytes(), bytes([size]) + step.tobytes()
+                yield int(bucket[part[0]]), block, data.tobytes(), packed(places[part])
 
     def run(batches):
         now, marks, places = None, [], []
@@ -181,7 +202,7 @@ def records(n_buckets: int, width: int, depth: int, choose):
                     yield out(block_rows(now, marks, places))
                     marks, places = [], []
                 now = block
-                chosen = choose(len(text), None if starts is None else np.frombuffer(starts, "<i8"))
+                chosen = choose(len(text), None if starts is None else from_runs(starts))
                 if len(chosen):
                     marks.append(fingerprints(text, depth, chosen))
                     places.append(chosen + place)
@@ -191,11 +212,6 @@ def records(n_buckets: int, width: int, depth: int, choose):
     return run
 
 
-def _steps(data: bytes) -> np.ndarray:
-    size = data[0]
-    return np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T.copy().view(f"<u{size}")[:, 0].astype(np.int64)
-
-
 def _bucket(width: int):
     """Function for applyInArrow: sort one bucket, and return the places of fingerprints that several blocks have."""
     def run(group: pa.Table) -> pa.Table:
@@ -206,7 +222,7 @@ def _bucket(width: int):
         marks = np.zeros((len(data), 8), np.uint8)
         marks[:, :width] = data
         marks = marks.view("<u8")[:, 0]
-        places = np.concatenate([np.empty(0, np.int64)] + [np.cumsum(_steps(r["places"])) for r in rows])
+        places = np.concatenate([np.empty(0, np.int64)] + [unpacked(r["places"]) for r in rows])
         order = np.argsort(marks, kind="stable")
         same = marks[order][1:] == marks[order][:-1]
         shared = np.zeros(len(marks), bool)
@@ -214,7 +230,7 @@ def _bucket(width: int):
         shared[order[:-1][same]] = True
         ends = np.cumsum([0] + [len(r["marks"]) // width for r in rows])
         found = [(r["block"], places[a:b][shared[a:b]]) for r, a, b in zip(rows, ends[:-1], ends[1:])]
-        found = known + [(block, x.astype("<i8").tobytes()) for block, x in found if len(x)]
+        found = known + [(block, packed(x)) for block, x in found if len(x)]
         return pa.table({"block": pa.array([x for x, _ in found], pa.int64()), "places": pa.array([x for _, x in found], pa.binary())})
 
     return run
@@ -222,12 +238,12 @@ def _bucket(width: int):
 
 def _by_text(places: pa.Table, texts: pa.Table) -> pa.Table:
     """The repeated places of one block, by text."""
-    found = np.unique(np.concatenate([np.empty(0, np.int64)] + [np.frombuffer(x, "<i8") for x in places.column("places").to_pylist()]))
+    found = np.unique(np.concatenate([np.empty(0, np.int64)] + [unpacked(x) for x in places.column("places").to_pylist()]))
     rows = []
     for digest, place, n in zip(*(texts.column(c).to_pylist() for c in ("digest", "place", "n"))):
         a, b = np.searchsorted(found, [place, place + n])
         if a < b:
-            rows.append((digest, (found[a:b] - place).astype("<i8").tobytes()))
+            rows.append((digest, as_runs(found[a:b] - place)))
     return pa.table({"digest": pa.array([d for d, _ in rows], pa.binary()), "starts": pa.array([s for _, s in rows], pa.binary())})
 
 
@@ -245,7 +261,7 @@ def _removed(batches):
     for batch in small_batches(batches):
         rows = []
         for digest, text, starts in arrow_rows(batch, "digest", "text", "starts"):
-            begin, end = spans(len(text), np.frombuffer(starts, "<i8"))
+            begin, end = spans(len(text), from_runs(starts))
             rows.append((digest, int((end - begin).sum()), len(begin), hashlib.sha256(kept_bytes(text, begin, end)).hexdigest(),
                          np.stack((begin, end), 1).astype("<i8").tobytes()))
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
