@@ -28,10 +28,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from respscore.llm.common import arrow_rows, arrow_rows_at_once, release, shuffle_width, small_batches
 from respscore.session import cut_lineage, discard
@@ -313,3 +315,29 @@ def op6_cover_dedup(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    """Texts without their removed spans; a character that a span cuts goes with it."""
+    def one(data, spans):
+        if data is None or spans is None:
+            return (data or b"").decode("utf-8", "replace")
+        begin, end = np.frombuffer(spans, "<i8").reshape(-1, 2).T
+        return kept_bytes(data, begin, end).decode("utf-8", "ignore")
+
+    return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """All documents, with the text that is left (copies of long texts: none) and ``n_chars``, if there, counted anew."""
+    found = removals(docs).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
+    copied = copies(docs).select(F.col("digest").alias("__copy"))
+    text = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    rows = docs.withColumn("__mark", F.unhex(F.md5(text)))
+    rows = rows.join(found, rows["__mark"] == found["__digest"], "left").join(copied, rows["__mark"] == copied["__copy"], "left")
+    left = F.when(F.col("__copy").isNotNull(), F.lit("")).otherwise(_without(F.col("text").cast("binary"), F.col("__spans")))
+    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), left))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -114,6 +114,18 @@ def fair_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, mix(rows)
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with their columns: a row for each taking, so repeats of a source are repeated rows.  A
+    document that its source's target cuts stays whole."""
+    rows, mixed = fair_mix(docs)
+    takes = mixed.groupBy("h").agg(F.count("*").alias("n"))
+    alike = rows.groupBy("h").agg(F.count("*").alias("k"))
+    takes = takes.join(alike, "h").select(F.col("h").alias("__h"), F.ceil(F.col("n") / F.col("k")).cast("int").alias("__n"))
+    keyed = docs.withColumn("__key", shuffle_key(docs))
+    return (keyed.join(takes, keyed["__key"] == takes["__h"])
+            .withColumn("__taking", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns))
+
+
 def op4_fair_mix(spark, sf_dir: str) -> DataFrame:
     rows, mixed = fair_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     key = ["source_no", "bucket", "rn"]

@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import arrow_rows, arrow_rows_at_once, components, release, small_batches
+from respscore.llm.common import WORD, arrow_rows, arrow_rows_at_once, components, release, small_batches
 from respscore.session import cut_lineage
 
 SHINGLE = 5
@@ -170,7 +171,7 @@ def _across(group: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, digest of the text, n_shingles, component (a number; null: no set) and component_id of every document."""
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                         F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
@@ -219,11 +220,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     roots = nodes.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
-    return (sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    named = roots.join(least, "root").select("node", F.col("root").alias("component"), "component_id")
+    return (sketches.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
+            .select("doc_id", "digest", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def op10_hyperminhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest id (null last) and, among equal ids, the first digest; and all
+    documents without words.  Columns as they were; of rows that repeat each other one stays."""
+    found = near_duplicates(docs).where("component is not null")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("x"))
+    best = best.select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__digest"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn("__mark", F.unhex(F.md5(text.cast("binary"))))
+    same = (rows["__mark"] == best["__digest"]) & rows["doc_id"].cast("long").eqNullSafe(best["__id"])
+    rows = rows.withColumn("__words", text.rlike(WORD))
+    one = F.row_number().over(W.partitionBy("__mark", F.col("doc_id").cast("long")).orderBy("__mark"))
+    kept = (rows.where("__words").join(best, same, "left_semi").withColumn("__n", one).where("__n = 1").select(*docs.columns))
+    return kept.union(rows.where("not __words").select(*docs.columns))

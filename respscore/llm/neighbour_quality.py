@@ -144,13 +144,13 @@ def _listed(batches):
 
 
 def scored(rows: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``rows`` and the score of the binary column ``text``."""
+    """All columns of ``rows`` and the score of the column ``text`` (string or its UTF-8 bytes)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
         for batch in small_batches(batches, size=text):
-            found = [terms(t or b"") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            found = [terms(t.encode() if isinstance(t, str) else t or b"") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             scores = model.scores(found) if model else np.full(len(found), 0.5)
             yield batch.append_column(score, pa.array(scores, pa.float64()))
 
@@ -162,3 +162,11 @@ def op7_neighbour_quality(spark, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(id_text(docs), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEPT_FROM).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier does not reject, with their columns."""
+    score = "score"
+    while score in docs.columns:
+        score += "_"
+    return scored(docs, fit(docs, labels), score=score).where(F.col(score) >= KEPT_FROM).drop(score)
