@@ -46,6 +46,44 @@ def small_batches(batches, max_bytes: int = 4 << 20, max_rows: int = 2000, size:
             yield batch.slice(begin)
 
 
+def grouped(run, *keys: str):
+    """Function for mapInArrow that calls ``run`` on the rows of each group, one table at a time.
+
+    For rows that are partitioned and sorted by ``keys``.  Where groups are many and small this spares the stream that
+    applyInArrow opens for each of them.  Results go out together.
+    """
+    def groups(batches):
+        now, parts = None, []
+        for batch in batches:
+            rows = list(arrow_rows(batch, *keys))
+            begin = 0
+            for i in range(1, len(rows) + 1):
+                if i == len(rows) or rows[i] != rows[begin]:
+                    if rows[begin] != now and parts:
+                        yield pa.Table.from_batches(parts)
+                        parts = []
+                    now = rows[begin]
+                    parts.append(batch.slice(begin, i - begin))
+                    begin = i
+        if parts:
+            yield pa.Table.from_batches(parts)
+
+    def each(batches):
+        out, n = [], 0
+        for group in groups(batches):
+            found = run(group)
+            if found.num_rows:
+                out.append(found)
+                n += found.num_rows
+            if n >= 10_000:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, n = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return each
+
+
 @contextmanager
 def arrow_rows_at_once(spark: SparkSession, rows: int):
     """While a step with wide rows runs, pass them to Python in Arrow batches of so many rows."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import WORD, arrow_rows, arrow_rows_at_once, components, release, small_batches
+from respscore.llm.common import WORD, arrow_rows, arrow_rows_at_once, components, grouped, release, shuffle_width, small_batches
 from respscore.session import cut_lineage
 
 SHINGLE = 5
@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), n_blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
             .select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
-    more = rows.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(_across, "a long, b long")
+    more = (rows.join(sets, "node").repartition(shuffle_width(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(grouped(_across, "key", "lo", "hi"), "a long, b long"))
     with arrow_rows_at_once(spark, WIDE_ROWS):
         links = links.union(cut_lineage(more, "hmh-more"))
     final = components(links, "hmh-final")
