@@ -30,12 +30,13 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from respscore.llm.common import arrow_rows, arrow_rows_at_once, release, shuffle_width, small_batches
+from respscore.llm.common import arrow_rows, arrow_rows_at_once, grouped, release, shuffle_width, small_batches
 from respscore.session import cut_lineage, discard
 
 LENGTH = 200
@@ -48,7 +49,7 @@ assert len({(a - b) % PERIOD for a in COVER for b in COVER}) == PERIOD
 #: Bytes of text in a block, in a segment that is fingerprinted at once, and for each bucket.
 BLOCK_BYTES = 1 << 20
 SEGMENT = 1 << 18
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 _rng = np.random.default_rng(6)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -238,8 +239,9 @@ def _bucket(width: int):
     return run
 
 
-def _by_text(places: pa.Table, texts: pa.Table) -> pa.Table:
-    """The repeated places of one block, by text."""
+def _by_text(block: pa.Table) -> pa.Table:
+    """The repeated places of one block, by text; its rows are those places (no digest) and the directory of its texts."""
+    places, texts = block.filter(pc.is_null(block.column("digest"))), block.filter(pc.is_valid(block.column("digest")))
     found = np.unique(np.concatenate([np.empty(0, np.int64)] + [unpacked(x) for x in places.column("places").to_pylist()]))
     rows = []
     for digest, place, n in zip(*(texts.column(c).to_pylist() for c in ("digest", "place", "n"))):
@@ -255,8 +257,9 @@ def repeated_starts(texts: DataFrame, n_buckets: int, width: int, depth: int, ch
                          .groupBy("bucket").applyInArrow(_bucket(width), "block long, places binary"), "cover-places")
     release(texts.sparkSession)
     directory = texts.select("digest", "block", "place", F.octet_length("text").cast("long").alias("n"))
-    return cut_lineage(places.groupBy("block").cogroup(directory.groupBy("block"))
-                       .applyInArrow(_by_text, "digest binary, starts binary"), "cover-starts")
+    both = places.select("block", "places").unionByName(directory, allowMissingColumns=True)
+    return cut_lineage(both.repartition(shuffle_width(texts.sparkSession), "block").sortWithinPartitions("block")
+                       .mapInArrow(grouped(_by_text, "block"), "digest binary, starts binary"), "cover-starts")
 
 
 def _removed(batches):

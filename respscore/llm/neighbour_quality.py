@@ -33,6 +33,8 @@ PER_CLASS = 2048
 RANK = 48
 NEIGHBOURS = 32
 POWER = 8
+#: Documents whose cosines are in memory at once.
+ROWS = 200
 KEPT_FROM = 0.3
 
 WORD_TERMS = 4096
@@ -150,8 +152,10 @@ def scored(rows: DataFrame, model: Model | None, text: str = "text", score: str
     def run(batches):
         model = shared.value
         for batch in small_batches(batches, size=text):
-            found = [terms(t.encode() if isinstance(t, str) else t or b"") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            scores = model.scores(found) if model else np.full(len(found), 0.5)
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            found = [terms(t.encode() if isinstance(t, str) else t or b"") for t in texts]
+            scores = (np.concatenate([model.scores(found[i:i + ROWS]) for i in range(0, len(found), ROWS)]) if model
+                      else np.full(len(found), 0.5))
             yield batch.append_column(score, pa.array(scores, pa.float64()))
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
