@@ -1,0 +1,383 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, next to
+brute force; and on empty tables."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from respscore.llm import (collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, packing,
+                           repair_ids, rule_ledger, token_cache, tokens)
+from respscore.session import scratch_path
+
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, digest string, node string, h string, "
+          "bucket string, score string, words string, start string, block string, n string, key string")
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    words = base.split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    passage = prose(rng, 60)
+    rows = [(1, base), (2, base), (3, near), (4, None), (5, ""), (6, " \n\t "), (7, "one two"), (8, "one two"), (9, "One TWO"),
+            (10, prose(rng, 80) + "\n" + passage + "\nünï çødé"), (11, prose(rng, 90) + "\n" + passage + "\n" + passage),
+            (12, "GNU General Public License and mit license cc by nc 4 0"), (13, "a b c " * 40), (14, "x### y$$$ " * 40),
+            (15, "line\nline\nline\nother words here"), (16, prose(rng, 40_000)), (None, base), (None, "null id text " + prose(rng, 70)),
+            (17, "Licensed under the Apache License, Version 2.0"), (17, "Licensed under the Apache License, Version 2.0"),
+            (18, "a<|endoftext|> b  c\n\n d   e"), (19, "ü" * 150), (20, "MKİT MİT license")]
+    return [(i, t) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if k % 5 == 0 else f"s{k % 4}", None if t is None else len(t), None, "d", "e", "f", "g", "s", "w", "t", "b", "n", "k")
+            for k, (i, t) in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ordered(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def word_list(text):
+    return (text or "").encode().split()
+
+
+def test_rule_ledger(docs, empty):
+    def brute(doc_id, text):
+        words, t = word_list(text), text or ""
+        g = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        seen = collections.Counter(g)
+        covered = {i + k for i, x in enumerate(g) if seen[x] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if x.strip(SPACE)]
+        n, rep = len(words), len(covered)
+        return (doc_id, n, sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), rep,
+                n >= 50 and 100 * rep <= 50 * n)
+
+    found = rule_ledger.ledger(docs).withColumn("ok", rule_ledger.passes("base", 1))
+    assert ordered(found, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ok") == sorted(
+        (brute(*r) for r in texts()), key=repr)
+    rows = rule_ledger.ledger(docs)
+    bits = [r["fail_bits"] for r in rows.collect()]
+    for r in rule_ledger.ablations(rows).collect():
+        mask = rule_ledger.mask_of(rule_ledger.POLICIES[r["policy"], r["version"]])
+        bit = rule_ledger.mask_of([r["rule"]])
+        assert (r["n_rejected"], r["n_by_rule"], r["n_only_by_rule"]) == (
+            sum(b & mask != 0 for b in bits), sum(b & bit != 0 for b in bits), sum(b & mask == bit for b in bits))
+    assert rule_ledger.ledger(empty).count() == 0
+
+
+@pytest.mark.parametrize("name, drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_pieces_equal_the_library(name, drops):
+    rng = random.Random(3)
+    parts = ["a", "B", " ", "  ", "\n", "\n\n", ".", ",", "'s", "é", "<|endoftext|>", "<|", "\t", " ", "　", "1", "\x00", "\x1c", "\r\n",
+             "!!", "The", "́", "İ", "K", "don't", "  \n", "ß", "×", "J", "J̌"]
+    found = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))).encode() for _ in range(5000)] + [(t or "").encode() for _, t in texts()]
+    encoder = tokens.PieceEncoder(tokens.tokenizer_path(name), drops, cache_size=200)
+    for i in range(0, len(found), 700):
+        assert encoder.encode(found[i:i + 700]) == encoder.whole(found[i:i + 700])
+
+
+def ids_of(name, text, end):
+    t = Tokenizer.from_file(tokens.tokenizer_path(name))
+    return np.array(t.encode(text or "", add_special_tokens=False).ids + end, "<u4")
+
+
+def test_repair_files(spark, docs, empty):
+    folder = scratch_path(spark, "test-ids")
+    repair_ids.write_ids(docs, folder, tokens.tokenizer_path("word_bpe_49k.json"), block_ids=500)
+    found = sorted(repair_ids.read_documents(spark, folder).collect(), key=lambda r: r["start"])
+    want = sorted(((i, t, ids_of("word_bpe_49k.json", t, [2])) for i, t in texts()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start = 0
+    for r, (doc_id, _, ids) in zip(found, want, strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    folder = scratch_path(spark, "test-ids")
+    repair_ids.write_ids(empty, folder, tokens.tokenizer_path("word_bpe_49k.json"))
+    assert repair_ids.read_documents(spark, folder).count() == 0
+
+
+def test_repair_random_access():
+    rng = np.random.default_rng(1)
+    data = np.repeat(rng.integers(0, 30, (60, 20)), 3, axis=0).ravel().astype(np.uint32)
+    sequence, rules, lengths = repair_ids.compress(data, 50, 2)
+    assert len(sequence) < 0.9 * len(data)
+    row = {"base": 50, "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "sequence": sequence.astype("<u2").tobytes()}
+    block = repair_ids.Block(row)
+    for a, n in [(0, len(data)), (17, 5), (100, 333), (len(data) - 1, 1), (5, 0)]:
+        assert (block.ids(a, n) == data[a:a + n]).all()
+
+
+def brute_links(sets, similar):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def least_ids(ids, roots, alone):
+    groups = collections.defaultdict(list)
+    for i, r in zip(ids, roots):
+        groups[r].append(i)
+    return [i if a else min((x for x in groups[r] if x is not None), default=None) for i, r, a in zip(ids, roots, alone)]
+
+
+def test_collision_count(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((30, 32))
+    near = base[:12] + 0.05 * rng.standard_normal((12, 32))
+    vectors = [*base, *near, *base[:3], base[0] * 7, np.zeros(32), np.full(32, np.nan), np.full(32, np.inf)]
+    vectors = [v.astype(np.float32).tolist() for v in vectors] + [None, [], [1.0, None], [1.0, 2.0], [2.0, 4.0]]
+    ids = [*range(len(vectors) - 1), None]
+    label = [None if i % 11 == 10 else i % 2 if i < 30 else (i - 30) % 2 for i in range(len(vectors))]
+    rows = [(i, v, c, "x", "y") for i, v, c in zip(ids, vectors, label)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, dim string")
+    good = [c is not None and v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v, c in zip(vectors, label)]
+
+    def linked(a, b):
+        (v, c, x), (w, d, y) = a, b
+        return x and y and c == d and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93
+
+    items = list(zip(vectors, label, good))
+    roots = brute_links(items, linked)
+    links = [sum(i != j and linked(a, b) for j, b in enumerate(items)) for i, a in enumerate(items)]
+    want = sorted(zip(ids, [int(x) for x in links], least_ids(ids, roots, [not g for g in good])), key=repr)
+    assert ordered(collision_count.similar_vectors(table), "vec_id", "n_links", "component_id") == want
+    assert collision_count.similar_vectors(table.limit(0)).count() == 0
+
+
+def test_fair_mix(docs, empty):
+    rows, mixed = fair_mix.fair_mix(docs)
+    per = collections.defaultdict(list)
+    sized = rows.collect()
+    assert sorted(r["size"] for r in sized) == sorted(len(word_list(t)) for _, t in texts())
+    for r in sized:
+        per[r["source"]].append(r)
+    total = sum(r["size"] for r in sized)
+    names = sorted((s for s in per if s is not None)) + [None] * (None in per)
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    size = {s: sum(r["size"] for r in per[s]) for s in names}
+    target, open_ = {}, set(names)
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = [s for s in open_ if share[s] > 3 * size[s]]
+        if not above:
+            break
+        target.update({s: 3.0 * size[s] for s in above})
+        open_ -= set(above)
+    target.update(share)
+    taken = collections.Counter()
+    items = sorted(mixed.collect(), key=lambda r: r["position"])
+    position = 0
+    for r in items:
+        assert r["position"] == position and r["words"] > 0
+        position += r["words"]
+        taken[r["source"]] += r["words"]
+    assert [r["finish"] for r in items] == sorted(r["finish"] for r in items)
+    for s in names:
+        assert {round(r["target"], 6) for r in per[s]} == {round(target[s], 6)}
+        assert abs(taken[s] - target[s]) < 1 + 1e-6
+    each = collections.Counter()
+    for r in items:
+        each[r["source_no"], r["bucket"], r["rn"]] += r["words"]
+    assert all(each[r["source_no"], r["bucket"], r["rn"]] <= 3 * r["size"] for r in sized)
+    assert fair_mix.mixed_documents(docs).columns == docs.columns
+    a, b = fair_mix.fair_mix(empty)
+    assert a.count() == 0 and b.count() == 0
+
+
+def test_packing(docs, empty):
+    pieces = packing.pack(docs, tokens.tokenizer_path("byte_bpe_50k.json"), window=64, n_open=4).collect()
+    want = collections.Counter()
+    for i, t in texts():
+        want[i, ids_of("byte_bpe_50k.json", t, [0]).tobytes()] += 1
+    found = collections.Counter()
+    by_id = collections.defaultdict(list)
+    for i, ids in want:
+        by_id[i].append(np.frombuffer(ids, "<u4"))
+    for p in pieces:
+        match = [x for x in by_id[p["doc_id"]] if len(x) == p["doc_tokens"]
+                 and zlib.crc32(x[p["start"]:p["start"] + p["length"]].tobytes()) == p["ids_crc32"]]
+        assert match and p["length"] > 0
+        found[p["doc_id"], match[0].tobytes()] += p["length"]
+    assert found == {k: n * (len(k[1]) // 4) for k, n in want.items()}
+    rows = collections.defaultdict(list)
+    for p in pieces:
+        rows[p["sequence_id"]].append((p["offset"], p["length"]))
+    fill = []
+    for r in rows.values():
+        r.sort()
+        assert [o for o, _ in r] == [sum(n for _, n in r[:k]) for k in range(len(r))]
+        fill.append(sum(n for _, n in r))
+    assert max(fill) <= 64 and sum(fill) >= 0.95 * 64 * len(fill)
+    assert packing.pack(empty, tokens.tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def brute_spans(all_texts, length=cover_dedup.LENGTH):
+    counts = collections.Counter(b[k:k + length] for b in all_texts for k in range(len(b) - length + 1))
+    out = []
+    for b in all_texts:
+        mark = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if counts[b[k:k + length]] > 1:
+                mark[k:k + length] = b"\x01" * length
+        out.append(mark)
+    return out
+
+
+def test_cover_dedup(spark, docs, empty):
+    found = cover_dedup.removals(docs).collect()
+    data = [(t or "").encode() for _, t in texts()]
+    marks = dict(zip(data, brute_spans(data)))
+    copied = {b for b, n in collections.Counter(data).items() if n > 1 and len(b) >= 200}
+    got = {bytes(r["digest"]): r for r in found}
+    for b, mark in marks.items():
+        if b in copied:
+            assert all(mark)
+            continue
+        r = got.get(hashlib.md5(b).digest())
+        kept = bytes(x for x, m in zip(b, mark) if not m)
+        if not any(mark):
+            assert r is None
+        else:
+            assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (
+                sum(mark), len([x for x in bytes(mark).split(b"\x00") if x]), hashlib.sha256(kept).hexdigest())
+    assert any(any(m) for b, m in marks.items() if b not in copied)
+    assert {bytes(r["digest"]) for r in cover_dedup.copies(docs).collect()} == {hashlib.md5(b).digest() for b in copied}
+    left = cover_dedup.remove_repeats(docs)
+    assert left.columns == docs.columns and left.count() == len(data)
+    assert cover_dedup.removals(empty).count() == 0 and cover_dedup.remove_repeats(empty).count() == 0
+
+
+def test_cover_dedup_across_segments(monkeypatch):
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"ab") for _ in range(3000))
+    chosen = cover_dedup.sampled(len(text))
+    whole = cover_dedup.fingerprints(text, cover_dedup.SAMPLE, chosen)
+    monkeypatch.setattr(cover_dedup, "SEGMENT", 257)
+    assert (cover_dedup.fingerprints(text, cover_dedup.SAMPLE, chosen) == whole).all()
+    same = {text[p:p + cover_dedup.SAMPLE] for p in chosen.tolist()}
+    assert len(same) == len(set(whole.tolist()))
+    places = np.array([3, 4, 5, 9, 70000, 70001])
+    assert (cover_dedup.unpacked(cover_dedup.packed(places)) == places).all()
+    assert (cover_dedup.from_runs(cover_dedup.as_runs(places)) == places).all()
+
+
+def test_neighbour_quality(spark, docs, empty):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 60) if i % 3 else " | ".join(prose(rng, 60).split()), "x") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)] + [(1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    model = neighbour_quality.fit(table, labels)
+    found = neighbour_quality.scored(table, model, score="vote").collect()
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 40 and all((r["vote"] >= 0.3) == (r["doc_id"] % 3 > 0) for r in held)
+    some = [neighbour_quality.terms(r["text"].encode()) for r in found[:20]]
+    cosine = model.vectors(some) @ model.voters.T  # brute force of the vote
+    for k, row in enumerate(cosine):
+        kth = np.sort(row)[-neighbour_quality.NEIGHBOURS] - 1e-5
+        w = np.where(row >= kth, np.maximum(row, 0).astype(float) ** neighbour_quality.POWER, 0)
+        assert abs((w @ model.labels) / w.sum() - found[k]["vote"]) < 1e-3
+    kept = neighbour_quality.keep_quality(table, labels)
+    assert kept.columns == table.columns and {r["doc_id"] % 3 > 0 for r in kept.collect()} == {True}
+    every = neighbour_quality.scored(docs, model, score="vote").collect()
+    assert len(every) == len(texts()) and all(0 <= r["vote"] <= 1 for r in every)
+    none = neighbour_quality.fit(table, labels.limit(0))
+    assert none is None and {r["vote"] for r in neighbour_quality.scored(docs, none, score="vote").collect()} == {0.5}
+    assert neighbour_quality.scored(empty, model, score="vote").count() == 0
+
+
+def test_token_cache(spark, docs, empty):
+    cache, path = scratch_path(spark, "test-cache"), tokens.tokenizer_path("word_bpe_49k.json")
+    want = sorted(((i, len((t or "").encode()), len(ids_of("word_bpe_49k.json", t, []))) for i, t in texts()), key=repr)
+    assert ordered(token_cache.token_counts(docs, cache, path), "doc_id", "n_bytes", "n_tokens") == want
+    before = spark.read.parquet(cache).count()
+    assert ordered(token_cache.token_counts(docs, cache, path), "doc_id", "n_bytes", "n_tokens") == want
+    assert spark.read.parquet(cache).count() == before == spark.read.parquet(cache).select("digest").distinct().count()
+    assert token_cache.token_counts(empty, scratch_path(spark, "test-cache"), path).count() == 0
+
+
+def test_license_scan(docs, empty):
+    def words(text):
+        out, now = [], ""
+        for c in (text or "") + " ":
+            if c.isascii() and not c.isalnum():
+                out += [now] * bool(now)
+                now = ""
+            else:
+                now += c.lower() if c.isascii() else c
+        return out
+
+    got = {(r["doc_id"], r["n_words"]): r for r in license_scan.license_scan(docs).collect()}
+    for i, t in texts():
+        w = words(t)
+        r = got[i, len(w)]
+        places = sorted((k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k:k + len(p.split())] == p.split())
+        assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
+            len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        own = {label for label, (_, key) in license_scan.TEMPLATES.items() for k in range(len(w)) if w[k:k + len(key.split())] == key.split()}
+        assert set(filter(None, r["labels"].split(","))) == {x for _, x in places} | own
+    assert license_scan.license_scan(empty).count() == 0
+
+
+def test_hyperminhash(docs, empty):
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, ids = [shingles(t) for _, t in texts()], [i for i, _ in texts()]
+    roots = brute_links(sets, lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b))
+    want = sorted(zip(ids, map(len, sets), least_ids(ids, roots, [not s for s in sets])), key=repr)
+    assert ordered(hyperminhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want
+    kept = hyperminhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({r for r, s in zip(roots, sets) if s}) + sum(not s for s in sets)
+    assert hyperminhash.near_duplicates(empty).count() == 0 and hyperminhash.keep_one(empty).count() == 0
+
+
+def test_hyperminhash_across_blocks():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(base[:200]), np.unique(base[:210]), np.unique(base[190:])]
+    table = pa.table({"lo": [0] * 3, "hi": [0] * 3, "block": [0] * 3, "node": [1, 2, 3], "root": [1, 2, 3],
+                      "sketch": [hyperminhash.registers(hyperminhash.smallest(s)).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+    assert hyperminhash._across(table).to_pylist() == [{"a": 1, "b": 2}]
+    sketch = [hyperminhash.registers(hyperminhash.smallest(s)) for s in sets]
+    assert abs(hyperminhash.estimate(sketch[0], sketch[1]) - 200 / 210) < 0.06
+    assert hyperminhash.CHANCE < 0.001
+
+
+def test_components_of_a_chain(spark):
+    from respscore.llm.common import components
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 50)], "a long, b long")
+    roots = collections.defaultdict(set)
+    for r in components(edges).collect():
+        roots[r["root"]].add(r["node"])
+    assert sorted(map(sorted, roots.values())) == [list(range(n + 1)), list(range(1000, 1050))]
+    assert components(edges.limit(0)).count() == 0
