@@ -26,7 +26,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     from respscore.plans.registry import QUERIES, load_all
-    from respscore.session import build_session
+    from respscore.session import build_session, discard_all
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
                           extra={"spark.driver.memory": "16g"})
     load_all()
@@ -38,6 +38,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    discard_all(spark)
     spark.stop()
 
 

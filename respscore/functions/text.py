@@ -155,10 +155,6 @@ def ratio(a, b) -> Column:
     return F.coalesce(F.try_divide(_c(a).cast("double"), _c(b).cast("double")), F.lit(0.0))
 
 
-def is_number(word) -> Column:
-    return F.lower(_c(word)).rlike(NUMBER_PATTERN)
-
-
 # fixed values: rule-based entity patterns (the stand-in for a trained recogniser)
 CAPS_RUN = r"[A-Z][a-z]+( [A-Z][a-z]+)*"
 CAPS_AT_START = r"(^|[.!?]\s+)[A-Z][a-z]+"

@@ -25,13 +25,13 @@ def wordpiece_vocab(words: DataFrame) -> DataFrame:
     return w.unionByName(cont(w)).unionByName(chars).unionByName(cont(chars)).distinct()
 
 
-def segment_counts(words: DataFrame, vocab: DataFrame, max_rounds: int = 64) -> DataFrame:
+def segment_counts(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, pieces) for distinct ``words`` against ``vocab``."""
     longest = vocab.agg(F.max(F.length("piece")).alias("L")).first()["L"] or 1
     state = words.select("word").distinct().select("word", F.col("word").alias("rest"),
                                                     F.lit(0).alias("n"), F.lit(False).alias("unk"))
     finished = []
-    for _ in range(max_rounds):
+    while True:  # every round shortens each unfinished word or marks it unknown, so the rounds end
         state = cut_lineage(state)
         done = state.where((F.length("rest") == 0) | F.col("unk"))
         finished.append(done.select("word", F.when(F.col("unk"), F.lit(1)).otherwise(F.col("n")).alias("pieces")))

@@ -124,7 +124,7 @@ TRAIN_SQL = FX.with_views("responses", "prompts", "scores") + r"""
                CAST(draw AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) % n + 1 AS r FROM draws)
 , os AS (SELECT p.prompt_id, rk.response_id, p.draw FROM picked p JOIN rk USING (prompt_id, r)
          UNION ALL SELECT rk.prompt_id, rk.response_id, rk.r AS draw FROM rk JOIN ord USING (prompt_id) WHERE pos = 1)
-, toks AS (SELECT os.*, os.prompt_id * 1000000000 + os.draw AS row_key,
+, toks AS (SELECT os.*, CAST(os.prompt_id AS VARCHAR) || '#' || CAST(os.draw AS VARCHAR) AS row_key,
              len(regexp_extract_all('[CLS] ' || p.prompt_question || ' [SEP] ' || r.text || ' [SEP]', '\w+|[^\w\s]'))
              AS len FROM os JOIN responses r USING (response_id) JOIN prompts p ON p.prompt_id = os.prompt_id)
 , ranked AS (SELECT *, row_number() OVER (ORDER BY len, md5(CAST(row_key AS VARCHAR)), row_key) AS rank FROM toks)
@@ -143,7 +143,7 @@ def q_training_set(spark, sf):
     q = FX.prompts(spark, sf).select("prompt_id", "prompt_question")
     rows = os_.join(txt, "response_id").join(q, "prompt_id")
     rows = rows.select("prompt_id", "draw", "response_id",
-                       (F.col("prompt_id") * 1000000000 + F.col("draw")).alias("row_key"),
+                       F.concat_ws("#", "prompt_id", "draw").alias("row_key"),
                        F.size(BA.basic_tokens(T.model_input(["prompt_question", "text"]))).cast("long").alias("len"))
     b = BA.length_batches(rows, "row_key", "len", BS)
     return b.select("prompt_id", "draw", "response_id", "len", "rank", "batch_id")

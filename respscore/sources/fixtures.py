@@ -7,11 +7,9 @@ in ``SQL`` for the DuckDB oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_PROMPTS = 40
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,11 +29,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(2 * cores, key)
 
 
+def prompt_of(spark, sf_dir, doc_id: str = "doc_id") -> Column:
+    """The prompt that a document answers: documents are dealt out over all prompts of the prompt table in turn."""
+    return F.try_mod(F.col(doc_id), table(spark, sf_dir, "benchmark").agg(F.count("*")).scalar())
+
+
 def responses(spark, sf_dir) -> DataFrame:
     """response_id, prompt_id, text, lang, source."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     return d.select(F.col("doc_id").alias("response_id"),
-                    (F.col("doc_id") % N_PROMPTS).alias("prompt_id"),
+                    prompt_of(spark, sf_dir).alias("prompt_id"),
                     "text", "lang", "source")
 
 
@@ -112,7 +115,7 @@ def dictionary(spark, sf_dir, min_freq: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL text
 SQL = {
-    "responses": "SELECT doc_id AS response_id, doc_id % 40 AS prompt_id, text, lang, source FROM documents",
+    "responses": "SELECT doc_id AS response_id, doc_id % (SELECT count(*) FROM benchmark) AS prompt_id, text, lang, source FROM documents",
     "prompts": (
         "SELECT item_id AS prompt_id, text AS prompt_text, "
         "regexp_extract(text, '^[^ ]+( [^ ]+){0,2}', 0) AS prompt_title, "

@@ -6,7 +6,8 @@
 * ``stream_plateau``: loss events arriving per run feed the early-stop rule
   (E7) through ``applyInPandasWithState``; the state per run is four numbers
   (best loss, counter, steps seen, fired), and a run emits one row when the
-  rule fires.
+  rule fires.  Events are put in order inside a micro-batch; between micro-batches
+  the files have to arrive in event order.
 
 Both write to a sink under the shared checkpoint folder with their own
 streaming checkpoint, so a restarted query resumes where it stopped.
@@ -26,10 +27,18 @@ from ..session import scratch_path
 from ..sources import fixtures as FX
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def _file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """All files of a table as one stream: the part files of a folder, or the one file of that name.
+
+    What is there when the query starts comes in one micro-batch; files that come later follow in the order of
+    their arrival.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -47,7 +56,8 @@ BASIC = ["text_word_cnt", "text_length", "text_stopword_cnt", "text_punct_cnt",
 
 def stream_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _file_stream(spark, sf_dir, "documents")
-    r = docs.select(F.col("doc_id").alias("response_id"), (F.col("doc_id") % FX.N_PROMPTS).alias("prompt_id"),
+    n_prompts = FX.table(spark, sf_dir, "benchmark").count()
+    r = docs.select(F.col("doc_id").alias("response_id"), (F.col("doc_id") % n_prompts).alias("prompt_id"),
                     "text")
     p = FE.prompt_features(FX.prompts(spark, sf_dir), grams=(), keep_text=False).drop("prompt_text_nostop")
     j = FE.ratios(FE.join_prompts(FE.response_counts(r), p))

@@ -10,7 +10,8 @@ SF001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from respscore.session import build_session
+    from respscore.session import build_session, discard_all
     s = build_session("local[4]", 8)
     yield s
+    discard_all(s)
     s.stop()
