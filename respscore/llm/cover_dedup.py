@@ -216,7 +216,7 @@ def records(n_buckets: int, width: int, depth: int, choose):
 
 
 def _bucket(width: int):
-    """Function for applyInArrow: sort one bucket, and return the places of fingerprints that several blocks have."""
+    """Function of one bucket's rows: sort them, and return the places of fingerprints that several blocks have."""
     def run(group: pa.Table) -> pa.Table:
         rows = group.select(["block", "marks", "places"]).to_pylist()
         known = [(r["block"], r["places"]) for r in rows if not r["marks"]]
@@ -254,7 +254,8 @@ def _by_text(block: pa.Table) -> pa.Table:
 def repeated_starts(texts: DataFrame, n_buckets: int, width: int, depth: int, choose) -> DataFrame:
     """(digest, starts) of the chosen positions whose strings of ``depth`` bytes occur more than once."""
     places = cut_lineage(texts.mapInArrow(records(n_buckets, width, depth, choose), RECORDS)
-                         .groupBy("bucket").applyInArrow(_bucket(width), "block long, places binary"), "cover-places")
+                         .repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+                         .mapInArrow(grouped(_bucket(width), "bucket"), "block long, places binary"), "cover-places")
     release(texts.sparkSession)
     directory = texts.select("digest", "block", "place", F.octet_length("text").cast("long").alias("n"))
     both = places.select("block", "places").unionByName(directory, allowMissingColumns=True)
