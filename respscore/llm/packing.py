@@ -31,6 +31,8 @@ from respscore.session import cut_lineage
 WINDOW = 1024
 OPEN_WINDOWS = 256
 MERGED = 16
+#: Pieces that a Python worker remembers; they stay in its memory beside later stages.
+CACHED_PIECES = 400_000
 #: Leftover windows with a gap above this are strung together and cut anew.
 SLACK = 16
 
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, n_open: int = OPEN_WI
     """One row for each piece of each document."""
 
     def partition(batches):
-        encoder, part = worker_encoder(path, False), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(path, False, CACHED_PIECES), TaskContext.get().partitionId()
         packer, tail, count = Packer(window, n_open), end.to_bytes(4, "little"), 0
         for batch in small_batches(batches):
             rows, out = list(arrow_rows(batch, "doc_id", "text")), []

@@ -145,9 +145,9 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def worker_encoder(path: str, drops_space: bool) -> PieceEncoder:
+def worker_encoder(path: str, drops_space: bool, cache_size: int = 1_000_000) -> PieceEncoder:
     """One encoder for each Python worker process, kept between its tasks."""
     key = (path, drops_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, drops_space)
+        _ENCODERS[key] = PieceEncoder(path, drops_space, cache_size)
     return _ENCODERS[key]
