@@ -32,6 +32,12 @@ def length_batches(df: DataFrame, key: str, length: str, batch_size: int = 8) ->
     return r.drop("_h").withColumn("batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("long"))
 
 
+def input_batches(df: DataFrame, key: str, batch_size: int = 8) -> DataFrame:
+    """E2 for evaluation: batches of ``batch_size`` rows in the order of ``key``; adds ``rank`` and ``batch_id``."""
+    r = rank_by_id(df, key)
+    return r.withColumn("batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("long"))
+
+
 def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
     """Batch order shuffled by md5(batch_id#seed); the last (longest) batch stays last.
 

@@ -124,6 +124,11 @@ def corr_screen(corr: DataFrame, any_threshold: float = 0.3, both_threshold: flo
                        F.coalesce(both > both_threshold, F.lit(False)).alias("keep_both"))
 
 
+def kept_features(corr: DataFrame, rule: str, **thresholds) -> DataFrame:
+    """B7 / B8 as a filter: the features that the rule ``any`` or ``both`` keeps, with their correlations."""
+    return corr_screen(corr, **thresholds).where(F.col(f"keep_{rule}")).select("feature", "content", "wording", "both")
+
+
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width bins between min and max (max falls in the last bin).
 

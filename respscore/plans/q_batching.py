@@ -37,6 +37,14 @@ def q_length_batches(spark, sf):
     return batched(spark, sf).select("response_id", "len", "rank", "batch_id")
 
 
+@register("input_batches", SEQ + """
+, ib AS (SELECT response_id, CAST(len AS BIGINT) AS len, row_number() OVER (ORDER BY response_id) AS rank FROM lens)
+SELECT *, (rank - 1) // 8 AS batch_id FROM ib""")
+def q_input_batches(spark, sf):
+    """E2 for evaluation: batches in input order, no sorting by length."""
+    return BA.input_batches(sequences(spark, sf), "response_id", BS).select("response_id", "len", "rank", "batch_id")
+
+
 SHUF = SEQ + """
 , bs AS (SELECT batch_id, count(*) AS size FROM bb GROUP BY batch_id)
 , sh AS (SELECT batch_id, size, row_number() OVER (ORDER BY CASE WHEN batch_id = (SELECT max(batch_id) FROM bs)

@@ -79,6 +79,15 @@ def q_running_best(spark, sf):
     return rounded(ME.running_best(FX.loss_log(spark, sf)))
 
 
+@register("best_across_runs", LL + """
+, b AS (SELECT run_id, min(loss) AS best_loss FROM loss_log GROUP BY run_id)
+, p AS (SELECT *, min(best_loss) OVER (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM b)
+SELECT run_id, round(best_loss, 6) AS best_loss, round(best_before, 6) AS best_before,
+       coalesce(best_loss < best_before, true) AS improved FROM p""")
+def q_best_across_runs(spark, sf):
+    return rounded(ME.best_across_runs(FX.loss_log(spark, sf)))
+
+
 def _plateau_sql(patience, delta):
     return LL + f"""
 , x AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)

@@ -6,9 +6,12 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as ME
 from ..operators import model as MO
 from ..operators import sampling as SA
 from ..operators import scale as SC
+from ..operators.ranking import rank_by_id
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 from .q_profile import BASIC, BASIC_SQL, basic_features
 from .registry import register, rounded
@@ -93,7 +96,6 @@ def q_fold_losses(spark, sf):
 SELECT feature, round(avg(valid_loss), 6) AS valid_loss, count(*) AS folds FROM fl2 GROUP BY feature""")
 def q_fold_means(spark, sf):
     """Per-fold losses averaged over folds, per candidate."""
-    from ..operators import metrics as ME
     return rounded(ME.fold_means(_fold_losses(spark, sf), by="feature"))
 
 
@@ -102,7 +104,6 @@ def q_fold_means(spark, sf):
 SELECT arg_min(feature, (round(valid_loss, 9), feature)) AS feature, round(min(valid_loss), 6) AS valid_loss FROM m""")
 def q_best_candidate(spark, sf):
     """The candidate with the lowest mean fold loss."""
-    from ..operators import metrics as ME
     return rounded(ME.best_candidate(ME.fold_means(_fold_losses(spark, sf), by="feature"), by="feature"))
 
 
@@ -112,55 +113,138 @@ def q_backward_elimination(spark, sf):
     return rounded(MO.backward_elimination(model_data(spark, sf), BASIC, TARGETS, floor=6))
 
 
+#: Weight of the squared coefficients.  Scaled inside a prompt, a ratio equals its count, so that plain least squares
+#: over all features has no unique solution; the penalty makes it unique.
+RIDGE = 0.01
+
+
 def _split(spark, sf):
+    """Labelled feature rows with their part, written once and read by every fit and prediction."""
     d = model_data(spark, sf)
     parts = SA.stratified_split(d.select("response_id", "prompt_id"), "response_id").select("response_id", "part")
-    return d.join(parts, "response_id")
+    s = cut_lineage(d.join(parts, "response_id"), "model-split")
+    return s.where(F.col("part") == "train"), s.where(F.col("part") == "valid")
+
+
+SPLIT_SQL = MD_SQL + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY prompt_id
+           ORDER BY md5(CAST(response_id AS VARCHAR) || '#42'), response_id) AS r,
+         count(*) OVER (PARTITION BY prompt_id) AS n FROM md)
+, kk AS (SELECT *, ceil(n * CAST(0.2 AS DOUBLE)) AS k1 FROM rk)
+, sp AS MATERIALIZED (SELECT * EXCLUDE (r, n, k1), CASE WHEN r <= k1 THEN 'valid'
+  WHEN r <= k1 + ceil((n - k1) * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS part FROM kk)
+, tr AS (SELECT * FROM sp WHERE part = 'train')
+, va AS (SELECT * FROM sp WHERE part = 'valid')
+"""
+
+
+def _ridge_sql(features, target, tag):
+    """CTEs that solve the ridge normal equations: one wide row, eliminated a pivot at a time.
+
+    Features are centred, and the penalty on each is its variance times ``RIDGE`` over the target's deviation.  The last
+    CTE, ``fit_<tag>``, has the coefficients b0.. and the intercept ``a``.
+    """
+    p = len(features)
+    first = [f"avg({target}) AS my"] + [f"avg({f}) AS mx{i}" for i, f in enumerate(features)]
+    for i, f in enumerate(features):
+        first.append(f"covar_pop({f}, {target}) AS r{i}")
+        first.append(f"var_pop({f}) * (1 + {RIDGE} / stddev_pop({target})) AS m{i}_{i}")
+        first += [f"covar_pop({f}, {features[j]}) AS m{i}_{j}" for j in range(i + 1, p)]
+    out, last = [f"{tag}_0 AS MATERIALIZED (SELECT {', '.join(first)} FROM tr)"], f"{tag}_0"
+    for k in range(p - 1):
+        down = []
+        for i in range(k + 1, p):
+            share = f"coalesce(m{k}_{i} / nullif(m{k}_{k}, 0), 0)"
+            down.append(f"r{i} - {share} * r{k} AS r{i}")
+            down += [f"m{i}_{j} - {share} * m{k}_{j} AS m{i}_{j}" for j in range(i, p)]
+        out.append(f"{tag}_{k + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(down)}) FROM {last})")
+        last = f"{tag}_{k + 1}"
+    for k in reversed(range(p)):
+        rest = "".join(f" - m{k}_{j} * b{j}" for j in range(k + 1, p))
+        out.append(f"{tag}_b{k} AS MATERIALIZED (SELECT *, coalesce((r{k}{rest}) / nullif(m{k}_{k}, 0), 0) AS b{k} FROM {last})")
+        last = f"{tag}_b{k}"
+    means = "".join(f" - b{i} * mx{i}" for i in range(p))
+    out.append(f"fit_{tag} AS (SELECT my{means} AS a, {', '.join(f'b{i}' for i in range(p))} FROM {last})")
+    return "".join(f"\n, {c}" for c in out)
+
+
+def _predicted_sql(features, tag):
+    return "(SELECT a FROM fit_%s)" % tag + "".join(f" + {f} * (SELECT b{i} FROM fit_{tag})" for i, f in enumerate(features))
+
+
+FIT_SQL = SPLIT_SQL + "".join(_ridge_sql(BASIC, t, t) for t in TARGETS)
+PREDICT_SQL = FIT_SQL + f"""
+, pr AS (SELECT response_id, content, wording, {_predicted_sql(BASIC, 'content')} AS p_content,
+                {_predicted_sql(BASIC, 'wording')} AS p_wording FROM va)
+"""
 
 
-@register("fit_two_targets")
+@register("fit_two_targets", FIT_SQL + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS target, '{name}' AS term, round({col}, 6) AS value FROM fit_{t}"
+    for t in TARGETS for name, col in [("intercept", "a")] + [(f, f"b{i}") for i, f in enumerate(BASIC)]))
 def q_fit_two_targets(spark, sf):
-    """M1: one linear regressor per target on the training part; coefficient table."""
-    d = _split(spark, sf)
-    models = MO.fit_two_targets(d.where(F.col("part") == "train"), BASIC, TARGETS)
-    return rounded(MO.coefficients(spark, models, BASIC))
+    """M1: one ridge regressor per target on the training part; coefficient table."""
+    train, _ = _split(spark, sf)
+    return rounded(MO.coefficients(spark, MO.fit_two_targets(train, BASIC, TARGETS, reg=RIDGE), BASIC))
+
+
+def _holdout(spark, sf):
+    train, valid = _split(spark, sf)
+    return MO.predict(MO.fit_two_targets(train, BASIC, TARGETS, reg=RIDGE), valid, BASIC, "response_id")
 
 
-@register("evaluate_holdout")
+@register("evaluate_holdout", PREDICT_SQL + """
+SELECT response_id, content, wording, round(p_content, 6) AS p_content, round(p_wording, 6) AS p_wording,
+       round((content - p_content) * (content - p_content), 6) AS se_content,
+       round((wording - p_wording) * (wording - p_wording), 6) AS se_wording FROM pr""")
 def q_evaluate_holdout(spark, sf):
     """M2: predictions on the validation part and their squared errors."""
-    d = _split(spark, sf)
-    models = MO.fit_two_targets(d.where(F.col("part") == "train"), BASIC, TARGETS)
-    p = MO.predict(models, d.where(F.col("part") == "valid"), BASIC, "response_id")
-    return rounded(p.select("response_id", "content", "wording", "p_content", "p_wording"))
+    squared = lambda t: F.pow(F.col(t) - F.col(f"p_{t}"), 2).alias(f"se_{t}")
+    return rounded(_holdout(spark, sf).select("response_id", "content", "wording", "p_content", "p_wording",
+                                              *[squared(t) for t in TARGETS]))
+
+
+@register("evaluate_losses", PREDICT_SQL + """
+, bt AS (SELECT *, (row_number() OVER (ORDER BY response_id) - 1) // 8 AS batch_id FROM pr)
+, pb AS (SELECT sqrt(avg(pow(content - p_content, 2))) AS c, sqrt(avg(pow(wording - p_wording, 2))) AS w FROM bt GROUP BY batch_id)
+, al AS (SELECT sqrt(avg(pow(content - p_content, 2))) AS c, sqrt(avg(pow(wording - p_wording, 2))) AS w FROM pr)
+SELECT 'rows' AS over, round(c, 6) AS rmse_content, round(w, 6) AS rmse_wording, round((c + w) / 2, 6) AS mcrmse FROM al
+UNION ALL SELECT 'batches' AS over, round(avg(c), 6), round(avg(w), 6), round(avg((c + w) / 2), 6) FROM pb""")
+def q_evaluate_losses(spark, sf):
+    """M2 with D13 and D15: the validation loss over all rows, and as the mean over batches of 8."""
+    p = cut_lineage(_holdout(spark, sf), "model-predictions")
+    b = rank_by_id(p, "response_id").withColumn("batch_id", F.floor((F.col("rank") - 1) / 8))
+    cols = ["rmse_content", "rmse_wording", "mcrmse"]
+    return rounded(ME.mcrmse(p).select(F.lit("rows").alias("over"), *cols)
+                   .union(ME.mcrmse_batch_mean(b).select(F.lit("batches").alias("over"), *cols)))
 
 
 @register("param_search")
 def q_param_search(spark, sf, config=None, tries=150):
     """M3: random search (P4 over the C6 grid); one row per evaluated combination."""
-    from ..operators import metrics as ME
     config = config or {"reg": [0.0, 0.01, 0.1], "elastic": [0.0, 0.5]}
     grid = SA.param_sample(SA.param_grid(spark, config), tries)
-    d = _split(spark, sf).cache()
-    train, valid = d.where(F.col("part") == "train"), d.where(F.col("part") == "valid")
+    train, valid = _split(spark, sf)
     rows = []
     for c in grid.collect():  # at most `tries` small config rows; each iteration is a Spark ML fit
         models = MO.fit_two_targets(train, BASIC, TARGETS, reg=c["reg"], elastic=c["elastic"])
         m = ME.mcrmse(MO.predict(models, valid, BASIC, "response_id")).first()
         rows.append((c["combo"], float(c["reg"]), float(c["elastic"]), float(m["mcrmse"])))
-    d.unpersist()
     return rounded(spark.createDataFrame(rows, "combo string, reg double, elastic double, valid_mcrmse double"))
 
 
-@register("two_model_combine")
+COUNTS, RATIOS = BASIC[:5], BASIC[5:]
+
+
+@register("two_model_combine", SPLIT_SQL + _ridge_sql(COUNTS, "content", "content") + _ridge_sql(RATIOS, "wording", "wording")
+          + f"""
+SELECT response_id, round({_predicted_sql(COUNTS, 'content')}, 6) AS content,
+       round({_predicted_sql(RATIOS, 'wording')}, 6) AS wording FROM va""")
 def q_two_model_combine(spark, sf):
     """M5: content model on counts, wording model on ratios; predictions joined on the id."""
-    from ..operators import metrics as ME
-    d = _split(spark, sf)
-    train, valid = d.where(F.col("part") == "train"), d.where(F.col("part") == "valid")
-    counts, ratios = BASIC[:5], BASIC[5:]
-    mc = MO.fit_two_targets(train, counts, ("content",))
-    mw = MO.fit_two_targets(train, ratios, ("wording",))
-    pc = MO.predict(mc, valid, counts, "response_id")
-    pw = MO.predict(mw, valid, ratios, "response_id")
+    train, valid = _split(spark, sf)
+    mc = MO.fit_two_targets(train, COUNTS, ("content",), reg=RIDGE)
+    mw = MO.fit_two_targets(train, RATIOS, ("wording",), reg=RIDGE)
+    pc = MO.predict(mc, valid, COUNTS, "response_id")
+    pw = MO.predict(mw, valid, RATIOS, "response_id")
     return rounded(ME.combine_predictions(pc, pw, "response_id", "p_content", "p_wording"))

@@ -130,6 +130,24 @@ def q_corr_screen_both(spark, sf):
     return rounded(PR.corr_screen(PR.corr_with_targets(labelled(spark, sf), BASIC)))
 
 
+def _kept_sql(rule):
+    return CORR_SQL + f"""
+, scr AS ({SCREEN_SQL[len(CORR_SQL):]})
+SELECT feature, content, wording, "both" FROM scr WHERE keep_{rule}"""
+
+
+@register("kept_features_any", _kept_sql("any"))
+def q_kept_features_any(spark, sf):
+    """The features kept because one target's correlation is above 0.3."""
+    return rounded(PR.kept_features(PR.corr_with_targets(labelled(spark, sf), BASIC), "any"))
+
+
+@register("kept_features_both", _kept_sql("both"))
+def q_kept_features_both(spark, sf):
+    """The features kept because the sum of both correlations is above 0.8."""
+    return rounded(PR.kept_features(PR.corr_with_targets(labelled(spark, sf), BASIC), "both"))
+
+
 @register("corr_matrix", CORR_SQL + """
 SELECT feature, round(content, 6) AS content, round(wording, 6) AS wording,
        round(abs(content) + abs(wording), 6) AS both FROM corr_t""")
