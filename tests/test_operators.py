@@ -139,8 +139,9 @@ def test_gram_sums_match_refit(spark):
     rows = [(int(g), float(a), float(b), float(a * 0.5 + b * 0.2 + rnd.normal() * 0.1), float(rnd.random()))
             for g in range(4) for a, b in rnd.random((30, 2))]
     df = spark.createDataFrame(rows, "prompt_id long, x1 double, x2 double, content double, wording double")
-    sums = MO.gram_sums(df, ["x1", "x2"]).toPandas()
-    got = {r[0]: r[3] for r in MO.fold_losses_pdf(sums, ["x1", "x2"], ["x1", "x2"], ["content", "wording"],
+    sums = MO.gram_sums(df, ["x1", "x2"])
+    total = MO.total_sums(sums, ["x1", "x2"])
+    got = {r[0]: r[3] for r in MO.fold_losses_pdf(sums.toPandas(), total, ["x1", "x2"], ["x1", "x2"], ["content", "wording"],
                                                   "prompt_id", 0.0)}
     data = np.array([r[1:] for r in rows]); grp = np.array([r[0] for r in rows])
     for g in range(4):
@@ -188,3 +189,11 @@ def test_exact_quantiles_small_buckets(spark):
     got = {r["q"]: r["value"] for r in PR.exact_quantiles(df, ["x"], (0.1, 0.25, 0.5, 0.75, 0.99), buckets=7).collect()}
     for q, v in got.items():
         assert abs(v - float(np.quantile(vals, q))) < 1e-9
+
+def test_v2_features_vary(spark):
+    """Marks, capitals and digits of the original text survive the correction."""
+    from respscore.plans.feature_table_v2 import raw_features_v2
+    from respscore.sources import fixtures as FX
+    raw = raw_features_v2(FX.responses(spark, SF001), FX.prompts(spark, SF001), FX.dictionary(spark, SF001))
+    r = raw.agg(*[F.count_distinct(c).alias(c) for c in ("entities", "punctuation_cnt", "text_pos", "distance")]).first()
+    assert all(n > 1 for n in r), r
