@@ -19,8 +19,11 @@ its string is.  Memory is bounded by a block of texts and by a bucket, whose siz
 
 Defined results: a null text is empty; texts below LENGTH bytes keep all, but count in ``n_bytes``; texts of any length are
 read whole, in segments; copies of a text of at least LENGTH bytes lose everything; repeated rows are copies; an empty
-table gives an empty result; only ``doc_id`` and ``text`` are read.  Fingerprints of 61 bits (53 in the
-sample, where a collision only adds work): a chance collision is of the order of (tied suffixes ** 2) / 2 ** 62.
+table gives an empty result; only ``doc_id`` and ``text`` are read.  What goes is decided on two independent fingerprints,
+one modulo 2 ** 64 and one modulo a prime: all 64 bits of the first and 16 bits of the second are compared whatever the
+number of buckets, and the bucket, which depends on both, adds up to 15 bits of the second.  Chance collisions are of the
+order of (tied suffixes ** 2) / 2 ** 81 or fewer; the bytes themselves are not compared.  In the sample, where a
+collision only adds work, 48 bits are compared at least.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ PERIOD = 133
 #: A perfect difference set of order 11.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SAMPLE = LENGTH - PERIOD + 1
+#: Bytes that travel of the fingerprints of a sampled position, and of a tied suffix (8 of the first, 2 of the second).
+SAMPLE_WIDTH, WIDTH = 6, 10
 assert len({(a - b) % PERIOD for a in COVER for b in COVER}) == PERIOD
 
 #: Bytes of text in a block, in a segment that is fingerprinted at once, and for each bucket.
@@ -63,6 +68,23 @@ def _powers(base: int) -> np.ndarray:
 
 
 _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+#: The second fingerprint is a residue modulo this prime, with letters and a base of its own.
+_PRIME = (1 << 31) - 1
+_LETTER2 = _rng.integers(1, _PRIME, 256, dtype=np.uint64)
+_BASE2 = 0x2545F491
+
+
+def _residues(base: int) -> np.ndarray:
+    out, n = np.ones(SEGMENT + LENGTH, np.uint64), 1
+    while n < len(out):
+        more = out[n:2 * n]
+        more[:] = out[:len(more)] * np.uint64(pow(base, n, _PRIME)) % np.uint64(_PRIME)
+        n *= 2
+    return out
+
+
+_POWER2, _INVERSE2 = _residues(_BASE2), _residues(pow(_BASE2, -1, _PRIME))
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -84,6 +106,33 @@ def fingerprints(text: bytes, depth: int, chosen: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def second_fingerprints(text: bytes, depth: int, chosen: np.ndarray) -> np.ndarray:
+    """Fingerprints of 31 bits, independent of the first, of the same strings."""
+    out, prime = [np.empty(0, np.uint32)], np.uint64(_PRIME)
+    data = np.frombuffer(text, np.uint8)
+    for start in range(0, len(data) - depth + 1, SEGMENT):
+        a, b = np.searchsorted(chosen, [start, start + SEGMENT])
+        if a == b:
+            continue
+        part = data[start:start + SEGMENT + depth - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LETTER2[part] * _POWER2[:len(part)] % prime, out=total[1:])
+        at = chosen[a:b] - start
+        out.append(((total[at + depth] - total[at]) % prime * _INVERSE2[at] % prime).astype(np.uint32))
+    return np.concatenate(out)
+
+
+def in_order(marks: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order in which equal fingerprints are neighbours, and which of them equal the one before."""
+    order = np.argsort(marks, kind="stable")
+    ordered = marks[order]
+    same = ordered[1:] == ordered[:-1]
+    if checks is not None and (checks[order][1:] != checks[order][:-1])[same].any():
+        order = np.lexsort((checks, marks))
+        same &= checks[order][1:] == checks[order][:-1]
+    return order, same
+
+
 def sampled(n: int) -> np.ndarray:
     """Cover positions of a text of ``n`` bytes at which SAMPLE bytes follow."""
     return np.flatnonzero(np.resize(_COVERED, max(0, n - SAMPLE + 1)))
@@ -172,45 +221,52 @@ _RECORDS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("marks", p
 def records(n_buckets: int, width: int, depth: int, choose):
     """Function for mapInArrow: fingerprints of the chosen positions of each text, by bucket.
 
-    ``choose`` gives the positions from the text and the column ``starts``; ``width`` bytes of a fingerprint travel, the
-    bucket holds more of it.
+    ``choose`` gives the positions from the text and the column ``starts``; ``width`` bytes of the fingerprints travel, those
+    beyond 8 are of the second one, which is then part of the bucket too.
     """
-    def block_rows(block, marks, places):
+    def block_rows(block, marks, checks, places):
         marks, places = np.concatenate(marks), np.concatenate(places)
-        order = np.argsort(marks, kind="stable")
-        ordered = marks[order]
-        first = np.ones(len(ordered), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(ordered)))
+        checks = np.concatenate(checks) if checks else None
+        order, same = in_order(marks, checks)
+        first = np.append(True, ~same)
+        size = np.diff(np.append(np.flatnonzero(first), len(order)))
         repeated = np.repeat(size > 1, size)
         if repeated.any():
             yield block % n_buckets, block, b"", packed(np.sort(places[order[repeated]]))
         one = np.sort(order[first])
         marks, places = marks[one], places[one]
-        bucket = ((marks >> np.uint64(44)) % np.uint64(n_buckets)).astype(np.int64)
+        if checks is None:
+            bucket = marks >> np.uint64(44)
+        else:
+            checks = checks[one]
+            bucket = (marks + checks.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(20)
+        bucket = (bucket % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, ends):
             if len(part):
                 data = marks[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-                step = np.diff(places[part], prepend=0)
+                if checks is not None:
+                    data = np.hstack((data, checks[part].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width - 8]))
                 yield int(bucket[part[0]]), block, data.tobytes(), packed(places[part])
 
     def run(batches):
-        now, marks, places = None, [], []
+        now, marks, checks, places = None, [], [], []
         out = lambda rows: pa.RecordBatch.from_pylist([dict(zip(_RECORDS.names, r)) for r in rows], schema=_RECORDS)
         for batch in small_batches(batches):
             for block, place, text, starts in arrow_rows(batch, "block", "place", "text", "starts"):
                 if block != now and marks:
-                    yield out(block_rows(now, marks, places))
-                    marks, places = [], []
+                    yield out(block_rows(now, marks, checks, places))
+                    marks, checks, places = [], [], []
                 now = block
                 chosen = choose(len(text), None if starts is None else from_runs(starts))
                 if len(chosen):
                     marks.append(fingerprints(text, depth, chosen))
+                    if width > 8:
+                        checks.append(second_fingerprints(text, depth, chosen))
                     places.append(chosen + place)
         if marks:
-            yield out(block_rows(now, marks, places))
+            yield out(block_rows(now, marks, checks, places))
 
     return run
 
@@ -222,12 +278,11 @@ def _bucket(width: int):
         known = [(r["block"], r["places"]) for r in rows if not r["marks"]]
         rows = [r for r in rows if r["marks"]]
         data = np.frombuffer(b"".join(r["marks"] for r in rows), np.uint8).reshape(-1, width)
-        marks = np.zeros((len(data), 8), np.uint8)
-        marks[:, :width] = data
-        marks = marks.view("<u8")[:, 0]
+        padded = lambda part, size: np.pad(part, ((0, 0), (0, size - part.shape[1]))).view(f"<u{size}")[:, 0]
+        marks, checks = padded(data[:, :8], 8), padded(data[:, 8:], 4) if width > 8 else None
+        del data
         places = np.concatenate([np.empty(0, np.int64)] + [unpacked(r["places"]) for r in rows])
-        order = np.argsort(marks, kind="stable")
-        same = marks[order][1:] == marks[order][:-1]
+        order, same = in_order(marks, checks)
         shared = np.zeros(len(marks), bool)
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
@@ -293,13 +348,13 @@ def removals(docs: DataFrame) -> DataFrame:
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     with arrow_rows_at_once(spark, 2000):
-        sample = repeated_starts(texts, n_buckets, 6, SAMPLE, lambda n, _: sampled(n))
+        sample = repeated_starts(texts, n_buckets, SAMPLE_WIDTH, SAMPLE, lambda n, _: sampled(n))
         # the texts that are left get new blocks, so that the rows of a block stand together
         open_texts = cut_lineage(texts.drop("starts").join(sample, "digest").select("digest", "text", "starts").mapInArrow(_distinct, schema),
                                  "cover-open")
         discard(texts, sample)
         release(spark)
-        starts = repeated_starts(open_texts, n_buckets, 7, LENGTH, tied)
+        starts = repeated_starts(open_texts, n_buckets, WIDTH, LENGTH, tied)
         found = open_texts.select("digest", "text").join(starts, "digest").mapInArrow(
             _removed, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans binary")
         return cut_lineage(found, "cover-removed")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from tokenizers import Tokenizer
 
@@ -289,6 +290,37 @@ def test_cover_dedup_across_segments(monkeypatch):
     assert (cover_dedup.from_runs(cover_dedup.as_runs(places)) == places).all()
 
 
+@pytest.mark.parametrize("weak", [lambda text, n: np.zeros(n, np.uint64), lambda text, n: np.full(n, text[0], np.uint64) << np.uint64(56)])
+def test_cover_dedup_when_fingerprints_agree(monkeypatch, weak):
+    """Equal first fingerprints, or such as differ in their last byte only, in a number of buckets that divides 4096."""
+    rng = random.Random(11)
+    monkeypatch.setattr(cover_dedup, "fingerprints", lambda text, depth, chosen: weak(text, len(chosen)))
+    repeated = bytes(rng.choice(b"abcdef") for _ in range(cover_dedup.LENGTH))
+    blocks = [[repeated, b"x" + repeated[1:]], [b"y" + repeated[1:], repeated], [b"z" + repeated[1:]]]
+    rows = [(b, k * 1000, text, None) for b, block in enumerate(blocks) for k, text in enumerate(block)]
+    batch = pa.table({"block": [r[0] for r in rows], "place": [r[1] for r in rows], "text": pa.array([r[2] for r in rows], pa.binary()),
+                      "starts": pa.array([r[3] for r in rows], pa.binary())}).to_batches()
+    width = getattr(cover_dedup, "WIDTH", 7)
+    sent = pa.Table.from_batches(cover_dedup.records(64, width, cover_dedup.LENGTH, lambda n, _: np.arange(n - cover_dedup.LENGTH + 1))(batch))
+    found = set()
+    for bucket in set(sent.column("bucket").to_pylist()):
+        group = cover_dedup._bucket(width)(sent.filter(pa.compute.equal(sent.column("bucket"), bucket)))
+        found |= {(r["block"], int(p)) for r in group.to_pylist() for p in cover_dedup.unpacked(r["places"])}
+    assert found == {(0, 0), (1, 1000)}
+
+
+def test_cover_dedup_second_fingerprints(monkeypatch):
+    rng = random.Random(12)
+    text = bytes(rng.choice(b"ab") for _ in range(2000)) * 2
+    chosen = np.arange(len(text) - cover_dedup.LENGTH + 1)
+    whole = cover_dedup.second_fingerprints(text, cover_dedup.LENGTH, chosen)
+    assert len(set(whole.tolist())) == 2000 and (whole[:1801] == whole[2000:]).all()
+    monkeypatch.setattr(cover_dedup, "SEGMENT", 257)
+    assert (cover_dedup.second_fingerprints(text, cover_dedup.LENGTH, chosen) == whole).all()
+    order, same = cover_dedup.in_order(np.array([5, 3, 5, 5], np.uint64), np.array([1, 0, 2, 1], np.uint32))
+    assert order.tolist() == [1, 0, 3, 2] and same.tolist() == [False, True, False]
+
+
 def test_neighbour_quality(spark, docs, empty):
     rng = random.Random(1)
     rows = [(i, prose(rng, 60) if i % 3 else " | ".join(prose(rng, 60).split()), "x") for i in range(400)]
