@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by ``doc_id``; each partition is a shard, written as blocks of about a quarter
 million ids.  In a block, pairs of neighbouring ids that occur often are replaced by a new id (a
-nonterminal), again and again; the rules and the length of each nonterminal's expansion are
+nonterminal), again and again until none occurs 8 times; the rules and the length of each nonterminal's expansion are
 stored beside the shortened sequence, so a reader finds any document by the running sum of
 lengths and expands only its part.
 
@@ -37,23 +37,27 @@ SCHEMA = ("shard int, block int, first long, n_ids long, doc_ids binary, doc_nul
           "base long, rules binary, lengths binary, sequence binary")
 
 
-def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: int = 2048, at_least: int = 8):
+def compress(ids: np.ndarray, base: int, end: int, at_least: int = 8):
     """Re-Pair: (sequence, rules, lengths).  Nonterminal ``base + k`` stands for the pair ``rules[k]``.
 
-    One round counts all pairs by sorting, takes up to ``per_round`` of the most frequent, and replaces their places
-    that don't overlap: a place yields to a neighbour whose pair is more frequent, and of a run of equal pairs
-    the first is taken.  Pairs that would cross a document's end are left alone.
+    Rounds go on until no pair stands ``at_least`` times without overlap.  One round counts all pairs by sorting; at each
+    place the pair yields to a neighbour that is more frequent, of a run of equal pairs every other one counts, and
+    pairs that keep ``at_least`` places are replaced there.  The most frequent pair keeps all its places, so every round
+    replaces some.  Pairs that would cross a document's end are left alone.
     """
     sequence = ids.astype(np.int64)
-    rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    rules, lengths = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     closed = np.zeros(base, bool)  # symbols whose expansion ends a document
     closed[end] = True
     size = np.ones(base, np.int64)
-    for _ in range(rounds):
-        if len(sequence) < 2 * at_least:
-            break
+    while len(sequence) >= 2 * at_least:
         pairs = (sequence[:-1] << 32) | sequence[1:]
         pairs[closed[sequence[:-1]]] = -1
+        again = np.flatnonzero((pairs[1:] == pairs[:-1]) & (pairs[1:] >= 0)) + 1
+        if len(again):
+            first = np.flatnonzero(np.diff(again, prepend=-1) > 1)
+            offset = np.arange(len(again)) - np.repeat(first, np.diff(np.append(first, len(again))))
+            pairs[again[offset % 2 == 0]] = -1
         ordered = np.sort(pairs)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
@@ -61,34 +65,34 @@ def compress(ids: np.ndarray, base: int, end: int, rounds: int = 4, per_round: i
         often = np.flatnonzero((counts >= at_least) & (values >= 0))
         if not len(often):
             break
-        if len(often) > per_round:
-            often = often[np.argpartition(counts[often], -per_round)[-per_round:]]
         values, counts = values[often], counts[often]
         order = np.argsort(-counts, kind="stable")
-        values, counts = values[order], counts[order]
+        values = values[order]
         # a table by hash: of pairs that share a place the most frequent one is replaced in this round
         place = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).view(np.int64)
         none = len(values)
         table = np.full(1 << 16, none, np.int32)
-        places = place(values)
-        table[places[::-1]] = np.arange(none, dtype=np.int32)[::-1]
-        used = np.flatnonzero(table[places] == np.arange(none))
+        table[place(values)[::-1]] = np.arange(none, dtype=np.int32)[::-1]
         rank = np.full(len(pairs) + 2, none, np.int32)  # one place more on either side
         rank[1:-1] = table[place(pairs)]
         rank[1:-1][np.append(values, -2)[rank[1:-1]] != pairs] = none
-        at = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < none))
+        at = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] < rank[2:]))
+        chosen = rank[1:-1][at]
+        used = np.bincount(chosen, minlength=none) >= at_least
+        at, chosen = at[used[chosen]], chosen[used[chosen]]
+        used = np.flatnonzero(used)
         number = np.zeros(none, np.int64)
         number[used] = len(size) + np.arange(len(used))
-        sequence[at] = number[rank[1:-1][at]]
+        sequence[at] = number[chosen]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
         new = np.stack((values[used] >> 32, values[used] & 0xFFFFFFFF), 1)
-        rules = np.concatenate((rules, new))
-        lengths = np.concatenate((lengths, size[new[:, 0]] + size[new[:, 1]]))
+        rules.append(new)
+        lengths.append(size[new[:, 0]] + size[new[:, 1]])
         closed = np.concatenate((closed, closed[new[:, 1]]))
-        size = np.concatenate((size, lengths[-len(used):]))
-    return sequence, rules, lengths
+        size = np.concatenate((size, lengths[-1]))
+    return sequence, np.concatenate(rules), np.concatenate(lengths)
 
 
 def expansions(base: int, rules: np.ndarray) -> np.ndarray:

@@ -126,6 +126,38 @@ def test_repair_random_access():
         assert (block.ids(a, n) == data[a:a + n]).all()
 
 
+@pytest.mark.parametrize("kind", ["passage", "run", "many"])
+def test_repair_until_no_pair_is_frequent(kind):
+    """A long passage is one symbol, a run of one id is halved each round, and no number of frequent pairs is too large."""
+    rng = np.random.default_rng(2)
+    if kind == "passage":
+        passage = rng.integers(3, 1000, 50)
+        data = np.concatenate([np.append(passage, rng.integers(1000, 60000, 1)) for _ in range(500)])
+    elif kind == "run":
+        data = np.concatenate((np.full(5001, 7), [2], np.full(5000, 7), [2]))
+    else:
+        data = np.repeat(np.stack((np.arange(3, 9003), np.arange(10003, 19003)), 1)[:, None], 9, axis=1)
+        data = data.reshape(-1, 2)[rng.permutation(9 * 9000)].ravel()
+    base = 60000
+    sequence, rules, lengths = repair_ids.compress(data.astype(np.uint32), base, 2)
+    left = collections.Counter()
+    last = None
+    for i, pair in enumerate(zip(sequence.tolist(), sequence[1:].tolist())):
+        if last is not None and last == (i - 1, pair):  # overlaps the one before
+            last = None
+            continue
+        last = (i, pair)
+        left[pair] += 1
+    ends = {2}
+    for k, (_, b) in enumerate(rules.tolist()):
+        ends |= {base + k} if b in ends else set()
+    assert max([n for (a, _), n in left.items() if a not in ends], default=0) < 8
+    assert len(sequence) <= {"passage": 1000, "run": 40, "many": 81000}[kind]
+    row = {"base": base, "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(),
+           "sequence": sequence.astype("<u2" if base + len(rules) <= 1 << 16 else "<u4").tobytes()}
+    assert (repair_ids.Block(row).ids(0, len(data)) == data).all()
+
+
 def brute_links(sets, similar):
     root = list(range(len(sets)))
 
