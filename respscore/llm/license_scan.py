@@ -1,10 +1,11 @@
 """Licence scan with a positional index of rare licence words, in DataFrame operations only.
 
 Templates are short licence notices.  The index holds, for each template, its words of highest inverse
-document frequency over all documents, with their positions.  A file's words are looked up in it; each hit
+document frequency over all documents, and the one of its key phrase, with their positions.  A file's words are looked up in it; each hit
 votes for a template and for the place in the file where the template would start, so hits agree if
-their relative positions do.  Places at which at least half of the template's index weight agrees
-are verified: the template's key phrase must stand there word by word.
+their relative positions do.  All these places are verified: the template's key phrase must stand there word by
+word.  As a word of it is in the index, a template is a label wherever its key phrase stands, whatever the table's
+frequencies; the score is the share of the template's index weight that agrees.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, after lower-casing A-Z.  Everything
 but the document frequencies of the (few, fixed) template words is local to a row: no shuffle, no key that
@@ -51,9 +52,8 @@ TEMPLATES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 }
 
-#: Words of a template that the index holds, and the share of their weight that has to agree.
+#: Words of a template that the index holds, besides the rarest of its key phrase.
 INDEXED = 4
-AGREE = 0.5
 
 
 def document_words(docs: DataFrame) -> DataFrame:
@@ -80,15 +80,22 @@ def template_idf(words: DataFrame) -> dict[str, float]:
 
 
 def rare_index(idf: dict[str, float]) -> dict[str, dict[int, float]]:
-    """Template -> position -> weight of its INDEXED words of highest weight; ties go to the earlier word."""
+    """Template -> position -> weight of its INDEXED words of highest weight and that of its key phrase; ties go to the earlier word."""
     index = {}
-    for label, (notice, _) in TEMPLATES.items():
-        words = notice.split()
-        best = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:INDEXED]
-        index[label] = {i: idf[words[i]] for i in sorted(best)}
+    for label, (notice, key) in TEMPLATES.items():
+        words, at, n = notice.split(), key_start(label), len(key.split())
+        best = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
+        of_key = next(i for i in best if at <= i < at + n)
+        index[label] = {i: idf[words[i]] for i in sorted({*best[:INDEXED], of_key})}
     return index
 
 
+def key_start(label: str) -> int:
+    """Position of the key phrase in its template."""
+    notice, key = (x.split() for x in TEMPLATES[label])
+    return next(i for i in range(len(notice)) if notice[i:i + len(key)] == key)
+
+
 def phrase_starts(words: Column, phrase: str) -> Column:
     """Array of the word positions at which the phrase's words stand consecutively."""
     *rest, last = phrase.split()
@@ -124,7 +131,7 @@ def candidates(words: Column, index: dict[str, dict[int, float]]) -> Column:
 
 
 def verified(words: Column, found: Column, index: dict[str, dict[int, float]]) -> Column:
-    """Array of (label, score) of the candidates that hold: enough agreeing weight, and the key phrase in its place."""
+    """Array of (label, score) of the candidates that hold: the key phrase stands in its place."""
     def score(c: Column) -> Column:
         value = F.lit(None).cast("double")
         for label, places in index.items():
@@ -132,11 +139,11 @@ def verified(words: Column, found: Column, index: dict[str, dict[int, float]]) -
             total = sum(places.values())
             agreed = sum((F.when(F.get(words, c["start"] + i) == notice[i], F.lit(weight)).otherwise(F.lit(0.0))
                           for i, weight in places.items()), F.lit(0.0))
-            at = next(i for i in range(len(notice)) if notice[i:i + len(key)] == key)
+            at = key_start(label)
             stands = F.lit(True)
             for k, w in enumerate(key):
                 stands = stands & F.coalesce(F.get(words, c["start"] + at + k) == w, F.lit(False))
-            value = F.when(c["label"] == label, F.when(stands & (agreed >= AGREE * total), F.least(agreed / total, F.lit(1.0)))).otherwise(value)
+            value = F.when(c["label"] == label, F.when(stands, F.least(agreed / total, F.lit(1.0)))).otherwise(value)
         return value
 
     scored = F.transform(found, lambda c: F.struct(c["label"].alias("label"), score(c).alias("score")))

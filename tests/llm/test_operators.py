@@ -410,6 +410,19 @@ def test_license_scan(docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_key_phrases_alone(spark):
+    """A key phrase is a label in any wording around it, whatever the table's frequencies."""
+    rows = [(i, f"See the {key}, here.") for i, (_, key) in enumerate(license_scan.TEMPLATES.values())]
+    common = [(100, " ".join(key for _, key in license_scan.TEMPLATES.values()))] * 30
+    rest = [(101, " ".join(notice for notice, _ in license_scan.TEMPLATES.values()))] * 30
+    for more in ([], common, rest):
+        got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        for i, label in enumerate(license_scan.TEMPLATES):
+            assert label in got[i]["labels"].split(",") and 0 < got[i]["score"] <= 1, label
+        for i, _ in more[:1]:
+            assert set(license_scan.TEMPLATES) <= set(got[i]["labels"].split(","))
+
+
 def test_hyperminhash(docs, empty):
     def shingles(text):
         w = (text or "").encode().lower().split()
