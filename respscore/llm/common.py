@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respscore.session import cut_lineage
@@ -27,6 +27,22 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
 
+def free_names(table: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``table`` has a column of that name; Spark compares names without their case."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(table: DataFrame) -> list[Column]:
+    """All columns of a table under their own names, odd ones (dots, back-ticks) included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in table.columns]
+
+
 def arrow_rows(batch: pa.RecordBatch, *names: str):
     """Tuples of the named columns of one Arrow batch."""
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))

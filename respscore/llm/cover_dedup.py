@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from respscore.llm.common import arrow_rows, arrow_rows_at_once, grouped, release, shuffle_width, small_batches
+from respscore.llm.common import arrow_rows, arrow_rows_at_once, free_names, grouped, own_columns, release, shuffle_width, small_batches
 from respscore.session import cut_lineage, discard
 
 LENGTH = 200
@@ -390,13 +390,14 @@ def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All documents, with the text that is left (copies of long texts: none) and ``n_chars``, if there, counted anew."""
-    found = removals(docs).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
-    copied = copies(docs).select(F.col("digest").alias("__copy"))
+    mark, digest, spans, copy = free_names(docs, "mark", "digest", "spans", "copy")
+    found = removals(docs).select(F.col("digest").alias(digest), F.col("spans").alias(spans))
+    copied = copies(docs).select(F.col("digest").alias(copy))
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
-    rows = docs.withColumn("__mark", F.unhex(F.md5(text)))
-    rows = rows.join(found, rows["__mark"] == found["__digest"], "left").join(copied, rows["__mark"] == copied["__copy"], "left")
-    left = F.when(F.col("__copy").isNotNull(), F.lit("")).otherwise(_without(F.col("text").cast("binary"), F.col("__spans")))
+    rows = docs.withColumn(mark, F.unhex(F.md5(text)))
+    rows = rows.join(found, F.col(mark) == F.col(digest), "left").join(copied, F.col(mark) == F.col(copy), "left")
+    left = F.when(F.col(copy).isNotNull(), F.lit("")).otherwise(_without(F.col("text").cast("binary"), F.col(spans)))
     rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), left))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*own_columns(docs))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import WORD
+from respscore.llm.common import WORD, free_names, own_columns
 from respscore.session import cut_lineage
 
 WEIGHTS = (1, 2, 3)
@@ -120,10 +120,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows, mixed = fair_mix(docs)
     takes = mixed.groupBy("h").agg(F.count("*").alias("n"))
     alike = rows.groupBy("h").agg(F.count("*").alias("k"))
-    takes = takes.join(alike, "h").select(F.col("h").alias("__h"), F.ceil(F.col("n") / F.col("k")).cast("int").alias("__n"))
-    keyed = docs.withColumn("__key", shuffle_key(docs))
-    return (keyed.join(takes, keyed["__key"] == takes["__h"])
-            .withColumn("__taking", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns))
+    key, h, n, taking = free_names(docs, "key", "h", "n", "taking")
+    takes = takes.join(alike, "h").select(F.col("h").alias(h), F.ceil(F.col("n") / F.col("k")).cast("int").alias(n))
+    keyed = docs.withColumn(key, shuffle_key(docs))
+    return (keyed.join(takes, F.col(key) == F.col(h))
+            .withColumn(taking, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own_columns(docs)))
 
 
 def op4_fair_mix(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import WORD, arrow_rows, arrow_rows_at_once, components, grouped, release, shuffle_width, small_batches
+from respscore.llm.common import (WORD, arrow_rows, arrow_rows_at_once, components, free_names, grouped, own_columns, release, shuffle_width,
+                                  small_batches)
 from respscore.session import cut_lineage
 
 SHINGLE = 5
@@ -236,11 +237,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     documents without words.  Columns as they were; of rows that repeat each other one stays."""
     found = near_duplicates(docs).where("component is not null")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("x"))
-    best = best.select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__digest"))
+    mark, words, n, best_id, best_digest = free_names(docs, "mark", "words", "n", "best_id", "best_digest")
+    best = best.select(F.col("x.doc_id").alias(best_id), F.col("x.digest").alias(best_digest))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("__mark", F.unhex(F.md5(text.cast("binary"))))
-    same = (rows["__mark"] == best["__digest"]) & rows["doc_id"].cast("long").eqNullSafe(best["__id"])
-    rows = rows.withColumn("__words", text.rlike(WORD))
-    one = F.row_number().over(W.partitionBy("__mark", F.col("doc_id").cast("long")).orderBy("__mark"))
-    kept = (rows.where("__words").join(best, same, "left_semi").withColumn("__n", one).where("__n = 1").select(*docs.columns))
-    return kept.union(rows.where("not __words").select(*docs.columns))
+    rows = docs.withColumn(mark, F.unhex(F.md5(text.cast("binary")))).withColumn(words, text.rlike(WORD))
+    same = (F.col(mark) == F.col(best_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(best_id))
+    one = F.row_number().over(W.partitionBy(mark, F.col("doc_id").cast("long")).orderBy(mark))
+    columns = own_columns(docs)
+    kept = rows.where(F.col(words)).join(best, same, "left_semi").withColumn(n, one).where(F.col(n) == 1).select(*columns)
+    return kept.union(rows.where(~F.col(words)).select(*columns))

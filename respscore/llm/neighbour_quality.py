@@ -170,7 +170,7 @@ def op7_neighbour_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    score = "score"
-    while score in docs.columns:
-        score += "_"
-    return scored(docs, fit(docs, labels), score=score).where(F.col(score) >= KEPT_FROM).drop(score)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no name clashes or needs quotes
+    text = plain.columns[[c.lower() for c in docs.columns].index("text")]
+    kept = scored(plain, fit(docs, labels), text=text).where(F.col("score") >= KEPT_FROM)
+    return kept.select(*plain.columns).toDF(*docs.columns)
