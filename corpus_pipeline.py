@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns the columns of
 ``documents``, but for the last one, which returns the pieces of packed sequences.  Between stages the documents are
 written as Parquet in the shared checkpoint folder and read again.
+
+Defined results.  Nulls: a null text counts as empty; it has a score like any other text, is never a near-duplicate, stays null
+when passages are removed, takes no part in the mix (0 words), and packs to its end token; a null ``doc_id`` is an id of its own
+that sorts last; null ``lang``, ``source`` (the last source) and ``n_chars`` are kept.  Empty texts: as null ones, but empty.
+Long texts are worked whole in every stage.  Ties: near-duplicates keep the smallest id, then the first digest; equal scores are
+judged alike.  Repeated rows: one stays after the second stage.  Empty table: every stage returns no rows, and the last one no
+pieces.  Further columns, of whatever name, are carried through unchanged by all stages but the last, which returns its own; ``n_chars``
+is counted anew when a text loses passages.
 """
 
 from __future__ import annotations
