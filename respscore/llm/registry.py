@@ -1,5 +1,6 @@
 """Named queries of the subpackage and their DuckDB SQL."""
 
+from respscore.llm.ball_codes import OP11_SQL, op11_ball_codes
 from respscore.llm.collision_count import op3_collision_count
 from respscore.llm.cover_dedup import op6_cover_dedup
 from respscore.llm.fair_mix import OP4_SQL, op4_fair_mix
@@ -12,5 +13,5 @@ from respscore.llm.rule_ledger import OP1_SQL, op1_rule_ledger
 from respscore.llm.token_cache import op8_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_token_files, op3_collision_count, op4_fair_mix, op5_packing, op6_cover_dedup, op8_token_counts,
-                                    op7_neighbour_quality, op9_license_scan, op10_hyperminhash)}
-ORACLES = {"op1_rule_ledger": OP1_SQL, "op4_fair_mix": OP4_SQL}
+                                    op7_neighbour_quality, op9_license_scan, op10_hyperminhash, op11_ball_codes)}
+ORACLES = {"op1_rule_ledger": OP1_SQL, "op4_fair_mix": OP4_SQL, "op11_ball_codes": OP11_SQL}

@@ -13,7 +13,7 @@ import pyarrow.compute
 import pytest
 from tokenizers import Tokenizer
 
-from respscore.llm import (collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, packing,
+from respscore.llm import (ball_codes, collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, packing,
                            repair_ids, rule_ledger, token_cache, tokens)
 from respscore.session import scratch_path
 
@@ -204,6 +204,79 @@ def test_collision_count(spark):
     assert collision_count.similar_vectors(table.limit(0)).count() == 0
 
 
+def plain_codes(rows, entries, rounds):
+    """Lloyd rounds by comparing everything with everything: {vec_id: (code, error)} and the codebooks."""
+    width = len(rows[0][1]) // 4
+    parts = [[[math.floor(1024 * x) for x in v[p * width:(p + 1) * width]] for _, v in rows] for p in range(4)]
+    first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))[:entries]
+    books = [[parts[p][i] for i in first] for p in range(4)]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c))
+    nearest = lambda p: [min((far(x, c), e) for e, c in enumerate(books[p])) for x in parts[p]]
+    for _ in range(rounds):
+        for p in range(4):
+            members = collections.defaultdict(list)
+            for x, (_, e) in zip(parts[p], nearest(p)):
+                members[e].append(x)
+            for e, m in members.items():
+                books[p][e] = [sum(c) // len(m) for c in zip(*m)]
+    last = [nearest(p) for p in range(4)]
+    return [("".join("%02x" % last[p][i][1] for p in range(4)), sum(last[p][i][0] for p in range(4))) for i in range(len(rows))], books
+
+
+@pytest.mark.parametrize("kind", ["spread", "tight", "large"])
+def test_ball_codes(spark, kind):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 16))
+    noise, scale = {"spread": (1.0, 1), "tight": (0.02, 1), "large": (1.0, 20_000)}[kind]
+    vectors = (centres[rng.integers(0, 6, 150)] + noise * rng.standard_normal((150, 16))) * scale
+    vectors = [*vectors, *vectors[:9], vectors[0] * 0]
+    vectors = [v.astype(np.float32).tolist() for v in vectors]
+    ids = [*range(len(vectors) - 2), 3, None]
+    odd = [(900, None), (901, []), (902, [None] * 16), (903, [float("nan")] * 16), (904, [float("inf")] + [0.0] * 15), (905, [1.0, 2.0])]
+    label = lambda i: None if i is None or i % 7 == 0 else i % 3
+    table = spark.createDataFrame([(i, v, label(i), "x", 1) for i, v in [*zip(ids, vectors), *odd]],
+                                  "vec_id long, embedding array<float>, label int, part string, n int").repartition(3)
+    found, books = ball_codes.ball_codes(table, entries=20)
+    want, want_books = plain_codes(list(zip(ids, vectors)), 20, 4)
+    assert [b.tolist() for b in books] == want_books
+    assert ordered(found, "vec_id", "code", "error") == sorted(((i, *w) for i, w in zip(ids, want)), key=repr)
+    empty, none = ball_codes.ball_codes(table.limit(0))
+    assert empty.count() == 0 and sum(map(len, none)) == 0
+
+
+def test_ball_codes_query(spark, monkeypatch):
+    """The columns of the query, next to plain rounds over the whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    want, books = plain_codes([(r["vec_id"], r["embedding"]) for r in rows], 256, 4)
+    totals = collections.Counter()
+    for r, (_, error) in zip(rows, want):
+        totals[r["label"]] += error
+    sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    found = ball_codes.op11_ball_codes(spark, "/root/testdata/sf0.001")
+    assert ordered(found, "vec_id", "code", "error", "label_error", "codebooks_sha256") == sorted(
+        ((r["vec_id"], *w, totals[r["label"]], sha) for r, w in zip(rows, want)), key=repr)
+
+
+def test_balls_skip_work_but_not_results():
+    """Unmoved balls, stable cores and rings leave most distances out and change no assignment."""
+    rng = np.random.default_rng(3)
+    entries = rng.integers(-3000, 3000, (64, 4))
+    rows = entries[rng.integers(0, 64, 5000)] + rng.integers(-300, 300, (5000, 4))
+    codes = ball_codes.Balls(entries).assign(rows, None)
+    moved = entries.copy()
+    moved[::9] += rng.integers(-40, 40, (len(moved[::9]), 4))
+    far = np.zeros(64)
+    np.maximum.at(far, codes, np.sqrt(((rows - entries[codes]) ** 2).sum(1)))
+    way = np.sqrt(((moved - entries) ** 2).sum(1))
+    balls = ball_codes.Balls(moved, far + way + 1e-6, way > 0)
+    assert balls.still.any() and not balls.still.all()
+    compared = []
+    whole = ball_codes.Balls.nearest
+    balls.nearest = lambda r, among: compared.append(len(r) * len(among)) or whole(balls, r, among)
+    assert (balls.assign(rows, codes) == ball_codes.Balls(moved).assign(rows, None)).all()
+    assert sum(compared) < 0.2 * rows.shape[0] * len(entries)
+
+
 def test_fair_mix(docs, empty):
     rows, mixed = fair_mix.fair_mix(docs)
     per = collections.defaultdict(list)
