@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,8 +14,8 @@ import pyarrow.compute
 import pytest
 from tokenizers import Tokenizer
 
-from respscore.llm import (ball_codes, collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, packing,
-                           repair_ids, rule_ledger, token_cache, tokens)
+from respscore.llm import (ball_codes, collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, output_codes,
+                           packing, phrase_tries, repair_ids, rule_ledger, token_cache, tokens)
 from respscore.session import scratch_path
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, digest string, node string, h string, "
@@ -531,3 +532,126 @@ def test_components_of_a_chain(spark):
         roots[r["root"]].add(r["node"])
     assert sorted(map(sorted, roots.values())) == [list(range(n + 1)), list(range(1000, 1050))]
     assert components(edges.limit(0)).count() == 0
+
+
+SYLLABLES = {"aa": "ka lo mi tu re", "bb": "sch ber ung zen ich", "cc": "oux eau ille ent oir", "dd": "dad cion osa ell ija", "ee": "wy prz szcz owa nik",
+             "ff": "qua uum ibus orum ae", "gg": "éà çü öß ñí łó"}
+
+
+def tongue(rng, lang, n):
+    parts = SYLLABLES[lang].split()
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.mark.parametrize("n_langs", [1, 2, 4, 7])
+def test_output_codes(spark, n_langs):
+    """Held-out documents get their language; codewords differ; rows without letters or a language have defined results."""
+    rng, langs = random.Random(4), list(SYLLABLES)[:n_langs]
+    rows = [(i, tongue(rng, langs[i % n_langs], rng.randint(1, 60) if i % 9 else 4000 if i == 0 else 3), langs[i % n_langs], "x", "y", "z") for i in range(400)]
+    rows += [(1000, None, "aa", "x", "y", "z"), (1001, "", None, "x", "y", "z"), (1002, " 12 # ²", "aa", "x", "y", "z"), (None, rows[0][1], "wrong", "x", "y", "z"),
+             (1003, rows[1][1], None, "x", "y", "z"), (3, rows[3][1], rows[3][2], "x", "y", "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, letters string, margins string").repartition(3)
+    found = [(r["doc_id"], r["lang_pred"], r["score"], r["ambiguous"]) for r in output_codes.languages(table).collect()]
+    assert len(found) == len(rows) and all(0 <= x[2] <= 1 for x in found)
+    pred = {x[0]: x for x in found}
+    assert [pred[i][1:3] for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert pred[None][1] == pred[0][1] and pred[1003][1] == pred[1][1]
+    held = [r for r in rows[:400] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    right = [pred[r[0]][1] == r[2] for r in held]
+    assert len(held) > 60 and sum(right) >= 0.97 * len(held)
+    assert all(pred[r[0]][1] == r[2] for r in held if len(r[1].split()) > 10)
+    code = output_codes.codewords(n_langs)
+    assert len({tuple(c) for c in code.tolist()}) == n_langs and all(set(b) == {1, -1} for b in code.T.tolist())
+    assert output_codes.languages(table.limit(0)).count() == 0
+    unknown = output_codes.languages(table.withColumn("lang", output_codes.F.lit(None).cast("string")).where("doc_id < 9")).collect()
+    assert {(r["lang_pred"], r["score"]) for r in unknown} == {("und", 0.0)}
+
+
+def test_output_codes_margins():
+    """Counts, margins and losses next to plain Python."""
+    texts = ["Éa b-c", "", "ab" * 700, "x y z"]
+    found = output_codes.ngram_counts(texts)
+    for text, row in zip(texts, found):
+        data = (" " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " ").encode()
+        want = collections.Counter()
+        for k, n in enumerate(output_codes.ORDERS):
+            for i in range(len(data)):
+                gram = int.from_bytes((data + output_codes.PAD)[i:i + n], "little")
+                want[k << 12 | (gram * 0x9E3779B1 % 2**32) >> 20] += 1
+        assert dict(want) == {int(i): int(row[i]) for i in np.flatnonzero(row)}
+    model = output_codes.Model({"a": found[0] + found[2], "b": found[3], "c": found[1] + 1})
+    share = {x: (c + 0.5) / (c + 0.5).sum() for x, c in (("a", found[0] + found[2]), ("b", found[3]), ("c", found[1] + 1))}
+    for b, bits in enumerate(model.code.T):
+        side = lambda s: np.mean([share[x] for x, y in zip("abc", bits) if y == s], axis=0)
+        odds = np.log(side(1)) - np.log(side(-1))
+        for t, (row, got) in enumerate(zip(found, model.margins(texts)[:, b])):
+            assert abs(got - (row * odds).sum() / max(1, row.sum())) < 1e-4
+    right = np.random.default_rng(1).random(model.code.shape)
+    decoder = output_codes.Decoder(model, right, np.array([1.0, 2.0, 0.5]))
+    margins = np.random.default_rng(2).standard_normal((20, 3))
+    for m, row in zip(margins, decoder.losses(margins)):
+        for i in range(3):
+            trust = (right[i] + 1e-6) / (right[i] + 1e-6).sum()
+            assert abs(row[i] - sum(trust[b] * math.exp(-model.code[i, b] * max(-3, min(3, m[b] / [1.0, 2.0, 0.5][b]))) for b in range(3))) < 1e-9
+
+
+def plain_collocations(rows, least, top):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    count, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            words = [w for w in re.split("[\x20\x09]+", piece) if w]
+            total[lang] += len(words)
+            for k in (1, 2, 3):
+                count[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in count.items():
+        known = {p: n for p, n in f.items() if len(p) > 1 and n >= least}
+        found = []
+        for p, a in known.items():
+            if any(len(q) > len(p) and 100 * n >= 50 * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, n in known.items()):
+                continue
+            cuts = [(10**6 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, l, r, total[lang], -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 7])
+def test_phrase_tries(spark, empty, monkeypatch, shard):
+    """Whole reports next to counting everything, with one trie a level and with many."""
+    rng = random.Random(6)
+    words = ["Kar", "lo", "\u00e9t\u00e9", "New", "york", "city", "a" * 90, "x#y", "b"]
+    weights = [9, 7, 5, 4, 4, 4, 1, 2, 3]
+    text = lambda n: "".join(rng.choices(words, weights)[0] + rng.choice(["  ", " ", "\t", ". ", "\n", " "]) for _ in range(n))
+    rows = [(rng.choice(["en", None, "a b"]), text(rng.randint(0, 60))) for _ in range(80)] + [("en", "New York city " * 900), ("en", None), ("zz", ""), ("und", "lo kar lo")]
+    rows += [("en", "Long " + "q" * 5000 + " word")] * 12
+    table = spark.createDataFrame([(lang, t, 1, 2, "n") for lang, t in rows], "lang string, text string, id int, n int, phrase string").repartition(3)
+    monkeypatch.setattr(phrase_tries, "SHARD", shard)
+    got = phrase_tries.collocations(table, least=5, top=30)
+    names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert got.columns == list(names)
+    assert sorted(tuple(r) for r in got.collect()) == plain_collocations(rows, 5, 30)
+    assert phrase_tries.collocations(empty).count() == 0
+
+
+def test_trie_of_many_keys():
+    rng = random.Random(1)
+    key = lambda: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz\xc3\xa9") for _ in range(rng.randint(1, 7)))
+    keys = sorted({key() for _ in range(30_000)} | {bytes([b]) + bytes([c]) for b in range(0x21, 256) for c in range(256)})
+    shard = phrase_tries.Shard(keys, np.arange(1, len(keys) + 1))
+    probe = [rng.choice(keys) for _ in range(5000)] + [key() for _ in range(5000)] + [b""]
+    length = np.array([len(k) for k in probe])
+    at = {k: i for i, k in enumerate(keys)}
+    found = shard.trie.walk(np.frombuffer(b"".join(probe), np.uint8), np.cumsum(length) - length, length, np.zeros(len(probe), np.int64))
+    assert found.tolist() == [at.get(k, -1) for k in probe]
+    assert len(shard.trie.base) < 3 * (shard.trie.check >= 0).sum()
+
+
+def test_scores_beyond_64_bits(spark):
+    level = spark.createDataFrame([(3_000_000_000, 4_000_000_000, 5_000_000_000)], "f long, l long, r long")
+    score = phrase_tries.score_of(phrase_tries.F.col("f"), phrase_tries.F.col("l"), phrase_tries.F.col("r"))
+    assert level.select(score.alias("s")).first()["s"] == 10**6 * 3_000_000_000**2 // (4_000_000_000 * 5_000_000_000)
