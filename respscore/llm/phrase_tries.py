@@ -7,8 +7,8 @@ Level 1 are words, level k phrases of k words.  A level has two steps.
   that stays below ``least`` proves a phrase infrequent, so no frequent one is lost.
 * Counts.  The candidates become double-array tries, which are broadcast.  Numpy walks all text positions
   of a block down the trie at once, a byte of the key each step; positions whose next node does not exist drop out, and the
-  accepting nodes of those that arrive are counted with ``bincount``.  A task sums its blocks and emits each count once,
-  and Spark sums the tasks.  The same walk writes, for each position, the number of the phrase that starts there (0 for none);
+  accepting nodes of those that arrive are counted with ``bincount``.  A task sums its blocks and emits its counts once, as
+  vectors of SLICE numbers, and the tasks' vectors are summed slice by slice.  The same walk writes, for each position, the number of the phrase that starts there (0 for none);
   such a sequence is what the next level reads: its phrases are pairs of neighbouring numbers.
 
 A trie holds at most SHARD keys and SHARD_BYTES bytes of them, so a broadcast has a fixed bound; more candidates
@@ -32,22 +32,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import arrow_rows, arrow_rows_at_once, small_batches
+from respscore.llm.common import arrow_rows, arrow_rows_at_once, shuffle_width, small_batches
 from respscore.session import cut_lineage, discard
 
 LEAST = 10
 MAX_WORDS = 3
 TOP = 2000
+#: Parts of a language that are ranked on their own before they meet.
+DEALS = 64
 #: Percent of a phrase's occurrences inside one longer phrase from which on it is dropped.
 INSIDE = 50
 
 SHARD = 1 << 20
+SLICE = 4096
 SHARD_BYTES = 32 << 20
 #: Words of more bytes are kept out of the trie, whose walk takes a step for each byte.
 LONG = 64
-#: Text that is walked together; distinct words and pairs that a task remembers.
+#: Text that is walked together; distinct words that a task remembers, and pairs that it sorts together.
 BLOCK_BYTES = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+SORTED = 1_000_000
+#: Numbers in a row of a sequence, about: rows end where a zero stands.
+ROW_NUMBERS = 2048
+#: Rows of texts and of sequences that pass to Python at once.
+TEXT_ROWS, SEQUENCE_ROWS = 1000, 250
 
 BLANK, BREAK = 0x20, 0x0A
 #: A-Z in lower case, tabs as blanks, and every mark that ends a piece as a line feed.
@@ -157,6 +165,7 @@ class Shard:
         short = np.flatnonzero(~is_long)
         lengths = np.array([len(keys[i]) for i in short], np.int64)
         self.trie = Trie(np.frombuffer(b"".join(keys[i] for i in short), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        self.first, self.size = (int(ids[0]), len(ids)) if len(ids) else (0, 0)
         self.ids = np.asarray(ids, np.int64)[short]
 
 
@@ -164,15 +173,38 @@ class Tally:
     """What a task has met of a shard's keys."""
 
     def __init__(self, shard: Shard):
-        self.ids, self.met, self.long = shard.ids, np.zeros(len(shard.ids), np.int64), Counter()
+        self.shard, self.met, self.long = shard, np.zeros(len(shard.ids), np.int64), Counter()
 
     def add(self, accepted: np.ndarray) -> None:
         self.met += np.bincount(accepted, minlength=len(self.met))
 
     def rows(self):
-        at = np.flatnonzero(self.met)
-        if len(at) or self.long:
-            yield _walked(len(at) + len(self.long), id=[*self.ids[at].tolist(), *self.long], n=[*self.met[at].tolist(), *self.long.values()])
+        """The counts in vectors of SLICE numbers each, those without a hit left out."""
+        counts = np.zeros(self.shard.size, np.int64)
+        counts[self.shard.ids - self.shard.first] = self.met
+        for i, n in self.long.items():
+            counts[i - self.shard.first] = n
+        for at in range(0, len(counts), SLICE):
+            if counts[at:at + SLICE].any():
+                yield _walked(1, id=[self.shard.first + at], counts=[counts[at:at + SLICE].astype("<i8").tobytes()])
+
+
+def summed(batches):
+    """Sums of the vectors of each slice, for rows that stand together by slice: one vector is in memory at a time."""
+    now, total = None, None
+
+    def emitted():
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(total[at])], names=["id", "n"])
+
+    for batch in batches:
+        for i, counts in arrow_rows(batch, "id", "counts"):
+            counts = np.frombuffer(counts, "<i8")
+            if i != now and now is not None:
+                yield emitted()
+            now, total = i, counts if i != now else total + counts
+    if now is not None:
+        yield emitted()
 
 
 def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,6 +253,19 @@ def without_runs(numbers: np.ndarray) -> np.ndarray:
     return numbers[(numbers > 0) | (np.append(0, numbers[:-1]) > 0)]
 
 
+def in_rows(numbers: np.ndarray) -> list[bytes]:
+    """A sequence in rows of about ROW_NUMBERS, cut at zeros, so that no phrase is cut."""
+    numbers = without_runs(numbers)
+    zeros = np.flatnonzero(numbers == 0)
+    at = np.searchsorted(zeros, np.arange(ROW_NUMBERS, len(numbers), ROW_NUMBERS))
+    return [_packed(x) for x in np.split(numbers, zeros[np.unique(at[at < len(zeros)])]) if len(x)]
+
+
+def joined(rows: list[bytes]) -> np.ndarray:
+    """Rows of a sequence one after the other, zeros between them."""
+    return np.frombuffer(b"\0\0\0\0".join(rows), "<u4")
+
+
 def with_breaks(numbers: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """Numbers of words with a zero wherever a new piece begins."""
     after = np.diff(piece, prepend=piece[:1]) > 0
@@ -229,9 +274,9 @@ def with_breaks(numbers: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return out
 
 
-WALKED = "lang binary, text binary, numbers binary, sequence binary, id long, n long"
+WALKED = "lang binary, text binary, numbers binary, sequence binary, id long, counts binary, n long"
 WALKED_ARROW = pa.schema([("lang", pa.binary()), ("text", pa.binary()), ("numbers", pa.binary()), ("sequence", pa.binary()),
-                          ("id", pa.int64()), ("n", pa.int64())])
+                          ("id", pa.int64()), ("counts", pa.binary()), ("n", pa.int64())])
 
 
 def _walked(n_rows: int, **columns) -> pa.RecordBatch:
@@ -262,7 +307,8 @@ def walk_texts(shared, first: bool, last: bool):
             else:
                 numbers = _merged(numbers, b"".join(before))
             if last:
-                yield _walked(1, sequence=[_packed(without_runs(with_breaks(numbers, piece)))])
+                rows = in_rows(with_breaks(numbers, piece))
+                yield _walked(len(rows), sequence=rows)
             else:
                 ends = np.searchsorted(text, np.arange(1, len(texts)))
                 yield _walked(len(texts), lang=langs, text=texts, numbers=[_packed(x) for x in np.split(numbers, ends)])
@@ -278,10 +324,16 @@ def walk_sequences(shared, width: int, last: bool, wanted: bool):
         shard = shared.value
         tally = Tally(shard)
         for batch in batches:
-            for sequence, before in arrow_rows(batch, "sequence", "numbers"):
-                numbers = _merged(numbers_of_pairs(shard, np.frombuffer(sequence, "<u4"), width, tally), before)
-                if wanted:
-                    yield _walked(1, sequence=[_packed(without_runs(numbers))]) if last else _walked(1, text=[sequence], numbers=[_packed(numbers)])
+            rows, before = map(list, zip(*arrow_rows(batch, "sequence", "numbers"))) if batch.num_rows else ([], [])
+            numbers = numbers_of_pairs(shard, joined(rows), width, tally)
+            if wanted and rows:
+                numbers = _merged(numbers, None if before[0] is None else b"\0\0\0\0".join(before))
+                if last:
+                    rows = in_rows(numbers)
+                    yield _walked(len(rows), sequence=rows)
+                else:
+                    ends = np.cumsum([len(x) // 4 + 1 for x in rows])
+                    yield _walked(len(rows), text=rows, numbers=[_packed(x[:-1]) for x in np.split(np.append(numbers, 0), ends[:-1])])
         yield from tally.rows()
     return run
 
@@ -319,12 +371,11 @@ def _seen_pairs(least: int):
     def run(batches):
         parts = []
         for batch in batches:
-            for sequence, in arrow_rows(batch, "sequence"):
-                x = np.frombuffer(sequence, "<u4").astype(np.int64)
-                parts.append((x[:-1] << 32 | x[1:])[(x[:-1] > 0) & (x[1:] > 0)])
-                if sum(map(len, parts)) > 10 * REMEMBERED:
-                    yield emitted(parts)
-                    parts = []
+            x = joined(batch.column(batch.schema.get_field_index("sequence")).to_pylist()).astype(np.int64)
+            parts.append((x[:-1] << 32 | x[1:])[(x[:-1] > 0) & (x[1:] > 0)])
+            if sum(map(len, parts)) > SORTED:
+                yield emitted(parts)
+                parts = []
         if parts:
             yield emitted(parts)
     return run
@@ -357,7 +408,7 @@ def _level(rows: DataFrame, numbers: DataFrame, sizes: list[int], as_key, walk,
     spark, tables = rows.sparkSession, []
     for s, shard in enumerate(_shards(numbers, sizes, as_key)):
         shared = spark.sparkContext.broadcast(shard)
-        with arrow_rows_at_once(spark, 2000 if "lang" in rows.columns else 32):
+        with arrow_rows_at_once(spark, TEXT_ROWS if "lang" in rows.columns else SEQUENCE_ROWS):
             tables.append(cut_lineage(rows.mapInArrow(walk(shared, s == 0, s == len(sizes) - 1), WALKED), f"{name}-{s}"))
         shared.unpersist()
         if wanted:
@@ -369,10 +420,13 @@ def _with_counts(numbers: DataFrame, tables: list[DataFrame], least: int, name:
     """Candidates with their exact counts ``f``."""
     counts = None
     for t in tables:
-        part = t.where("id is not null").select("id", "n")
+        part = t.where("counts is not null").select("id", "counts")
         counts = part if counts is None else counts.union(part)
-    counts = counts.groupBy("id").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return cut_lineage(numbers.join(counts, "id").drop("shard", "place"), name)
+    spark = numbers.sparkSession
+    with arrow_rows_at_once(spark, SEQUENCE_ROWS):
+        counts = (counts.repartition(shuffle_width(spark), "id").sortWithinPartitions("id").mapInArrow(summed, "id long, n long")
+                  .where(F.col("n") >= least).withColumnRenamed("n", "f"))
+        return cut_lineage(numbers.join(counts, "id").drop("shard", "place"), name)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -387,7 +441,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
     words = (rows.select("lang", "text").mapInArrow(_seen_words(least), "lang binary, word binary, seen long")
              .groupBy("lang", "word").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).drop("seen"))
     key = F.concat("lang", F.lit(b" "), "word")
-    words, sizes = numbered(cut_lineage(words, "phrase-seen1").withColumn("key", key), ["key"], F.octet_length("key"), "phrase-level1")
+    spark = docs.sparkSession
+    with arrow_rows_at_once(spark, TEXT_ROWS):
+        words = cut_lineage(words, "phrase-seen1")
+    words, sizes = numbered(words.withColumn("key", key), ["key"], F.octet_length("key"), "phrase-level1")
     sequences, tables = _level(rows, words, sizes, F.col("key"), walk_texts, "phrase-walk1")
     totals = cut_lineage(tables[0].where("id is null and n is not null").groupBy(F.col("lang").cast("string").alias("lang"))
                          .agg(F.sum("n").alias("n")), "phrase-totals")
@@ -400,8 +457,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
         if n_ids >= 1 << 31:
             raise ValueError(f"more than {1 << 31} frequent phrases of {k - 1} words")
         width = next(w for w in (1, 2, 3, 4) if n_ids < 1 << 8 * w)
-        spark = docs.sparkSession
-        with arrow_rows_at_once(spark, 32):
+        with arrow_rows_at_once(spark, SEQUENCE_ROWS):
             pairs = cut_lineage(sequences.select("sequence").mapInArrow(_seen_pairs(least), "pair long, seen long").groupBy("pair")
                                 .agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("pair"), f"phrase-seen{k}")
         numbers, sizes = numbered(pairs, ["pair"], F.lit(2 * width), f"phrase-level{k}")
@@ -444,9 +500,11 @@ def collocations(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS
             rows = rows.join(longer, "id", "left").where(F.coalesce(100 * F.col("most") < INSIDE * F.col("f"), F.lit(True)))
         rows = rows.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
         scored = rows if scored is None else scored.union(rows)
-    # Spark keeps the first ``top`` of each language before the shuffle already
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    dealt = scored.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(DEALS)))
+    # the best of each deal first, so that no task sorts a whole language
+    best = dealt.withColumn("rank", F.row_number().over(W.partitionBy("lang", "deal").orderBy(*order))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
