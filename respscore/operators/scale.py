@@ -32,6 +32,28 @@ def minmax_by_group(df: DataFrame, cols, group: str = "prompt_id") -> DataFrame:
     return j.select(*out)
 
 
+def fit_minmax(df: DataFrame, cols, group: str = "prompt_id") -> DataFrame:
+    """State of a scaler: one row for each group with its rows and each column's minimum and maximum."""
+    bounds = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cols for n, f in (("mn", F.min), ("mx", F.max))]
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), *bounds)
+
+
+def merge_minmax(states: DataFrame, cols, group: str = "prompt_id") -> DataFrame:
+    """One state out of the states of several parts of the rows, in any order."""
+    bounds = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in cols for n, f in (("mn", F.min), ("mx", F.max))]
+    return states.groupBy(group).agg(F.sum("n_rows").alias("n_rows"), *bounds)
+
+
+def apply_minmax(df: DataFrame, state: DataFrame, cols, group: str = "prompt_id") -> DataFrame:
+    """E1 with a fitted state: values outside the fitted range fall outside [0, 1]; a constant column and a group that the
+    state does not know become 0."""
+    cols = list(cols)
+    known = state.select(F.col(group).alias("_g"), *[F.col(f"{n}_{c}").alias(f"_{n}_{c}") for c in cols for n in ("mn", "mx")])
+    j = df.join(known, df[group].eqNullSafe(F.col("_g")), "left")
+    scaled = lambda c: F.when(F.col(f"_mx_{c}") > F.col(f"_mn_{c}"), (F.col(c).cast("double") - F.col(f"_mn_{c}")) / (F.col(f"_mx_{c}") - F.col(f"_mn_{c}"))).otherwise(F.lit(0.0))
+    return j.select(*[scaled(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def nonfinite_to_zero(df: DataFrame, cols=None) -> DataFrame:
     """NULL, NaN, +inf and -inf -> 0 in the given (default: all double) columns."""
     if cols is None:

@@ -113,6 +113,26 @@ def dictionary(spark, sf_dir, min_freq: int = 20) -> DataFrame:
                  .where(F.col("freq") >= min_freq))
 
 
+def gazetteer(spark, sf_dir) -> DataFrame:
+    """phrase, label: titles, openings and first sentences of the prompts, and the names of nations and regions."""
+    p = prompts(spark, sf_dir)
+    opening = F.regexp_extract("prompt_text", r"^[^ ]+( [^ ]+)?", 0)
+    parts = [p.select(F.col("prompt_title").alias("phrase"), F.lit("title").alias("label")), p.select(opening, F.lit("opening")),
+             p.select("prompt_question", F.lit("sentence")), table(spark, sf_dir, "nation").select("n_name", F.lit("nation")),
+             table(spark, sf_dir, "region").select("r_name", F.lit("region"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def word_pairs(spark, sf_dir, min_freq: int = 2) -> DataFrame:
+    """first, second, freq: neighbouring [a-z]+ words of English documents."""
+    from ..operators.compound import word_pairs as pairs_of
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return pairs_of(d.where(F.col("lang") == "en"), "text", min_freq)
+
+
 # ---------------------------------------------------------------- SQL text
 SQL = {
     "responses": "SELECT doc_id AS response_id, doc_id % (SELECT count(*) FROM benchmark) AS prompt_id, text, lang, source FROM documents",
@@ -141,6 +161,14 @@ SQL = {
     "dictionary": (
         "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word "
         "FROM documents WHERE lang = 'en') GROUP BY word HAVING count(*) >= 20"),
+    "gazetteer": (
+        "SELECT prompt_title AS phrase, 'title' AS label FROM prompts UNION ALL "
+        "SELECT regexp_extract(prompt_text, '^[^ ]+( [^ ]+)?', 0), 'opening' FROM prompts UNION ALL "
+        "SELECT prompt_question, 'sentence' FROM prompts UNION ALL SELECT n_name, 'nation' FROM nation UNION ALL SELECT r_name, 'region' FROM region"),
+    "word_pairs": (
+        "SELECT first, second, count(*) AS freq FROM (SELECT unnest(a[:-2]) AS first, unnest(a[2:]) AS second FROM ("
+        "SELECT regexp_extract_all(lower(text), '[a-z]+') AS a FROM documents WHERE lang = 'en') WHERE len(a) > 1) "
+        "GROUP BY first, second HAVING count(*) >= 2"),
 }
 
 

@@ -27,7 +27,7 @@ from ..session import scratch_path
 from ..sources import fixtures as FX
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _file_stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | None = None) -> DataFrame:
     """All files of a table as one stream: the part files of a folder, or the one file of that name.
 
     What is there when the query starts comes in one micro-batch; files that come later follow in the order of
@@ -35,6 +35,8 @@ def _file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     path = f"{sf_dir}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
         return reader.parquet(path)
@@ -54,15 +56,19 @@ BASIC = ["text_word_cnt", "text_length", "text_stopword_cnt", "text_punct_cnt",
          "text_different_word_ratio"]
 
 
-def stream_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature stream: response_id, prompt_id and the counts and ratios of each response that arrives."""
     docs = _file_stream(spark, sf_dir, "documents")
     n_prompts = FX.table(spark, sf_dir, "benchmark").count()
     r = docs.select(F.col("doc_id").alias("response_id"), (F.col("doc_id") % n_prompts).alias("prompt_id"),
                     "text")
     p = FE.prompt_features(FX.prompts(spark, sf_dir), grams=(), keep_text=False).drop("prompt_text_nostop")
     j = FE.ratios(FE.join_prompts(FE.response_counts(r), p))
-    out = j.select("response_id", "prompt_id", *[F.col(c).cast("double").alias(c) for c in BASIC])
-    return _run_to_table(spark, out, "stream-features")
+    return j.select("response_id", "prompt_id", *[F.col(c).cast("double").alias(c) for c in BASIC])
+
+
+def stream_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_to_table(spark, basic_features(spark, sf_dir), "stream-features")
 
 
 STATE_SCHEMA = "best double, cnt long, steps long, fired boolean"
