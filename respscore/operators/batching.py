@@ -2,7 +2,7 @@
 
 Sequences are arrays of token strings (token ids need a vocabulary the
 reference downloads; any id lookup is a join on this column).  Ranks come from
-the bucketed rank (``ranking``), never from one global sort task.
+range partitions (``ranking``), never from one global sort task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def length_batches(df: DataFrame, key: str, length: str, batch_size: int = 8) ->
     Adds ``rank`` (1-based) and ``batch_id`` (0-based).
     """
     d = df.withColumn("_h", hex_hash(key))
-    r = rank_within(d, order=[length], bucket=F.substring("_h", 1, 3), fine=["_h", key], out="rank")
+    r = rank_within(d, order=[length, "_h", key], out="rank")
     return r.drop("_h").withColumn("batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("long"))
 
 
@@ -47,8 +47,7 @@ def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
     last = b.agg(F.max("batch_id")).scalar()  # uncorrelated scalar subquery, no join
     b = b.withColumn("_is_last", (F.col("batch_id") == last).cast("int")).withColumn(
         "_h", hex_hash("batch_id", seed=seed))
-    r = rank_within(b, order=["_is_last"], bucket=F.substring("_h", 1, 3), fine=["_h", "batch_id"],
-                    out="batch_pos")
+    r = rank_within(b, order=["_is_last", "_h", "batch_id"], out="batch_pos")
     return r.select("batch_id", "size", "batch_pos")
 
 

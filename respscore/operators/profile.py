@@ -7,10 +7,12 @@ row into a long table.  Nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .ranking import running_sum
+
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Names of numeric columns."""
@@ -33,37 +35,24 @@ def _unpivot(row: DataFrame, cols, stats) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
-def exact_quantiles(df: DataFrame, cols, qs=(0.25, 0.5, 0.75), buckets: int = 4096) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact quantiles with linear interpolation (position q * (n - 1)), per column.
 
-    No task holds a column's values: an equal-width histogram (map-side
-    combined) locates the bucket of each needed rank, and only the distinct
-    values of those buckets are ranked.  Returns (column, q, value).
+    Equal values are counted first (on the map side), so a value that a third of the rows share is one row.  The distinct
+    values are ranked over range partitions, whose borders Spark draws from the data: neither outliers nor heavy tails
+    crowd a task.  Returns (column, q, value).
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
                                           for c in cols])).alias("s")).select("s.*").where(F.col("x").isNotNull())
-    stats = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-    b = F.when(F.col("mx") > F.col("mn"), F.least(
-        F.floor((F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    lb = long.join(stats, "column").withColumn("b", b.cast("long"))
-    hist = lb.groupBy("column", "b").agg(F.count(F.lit(1)).alias("cnt"))
-    hist = hist.withColumn("cum", F.coalesce(F.sum("cnt").over(
-        Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    need = stats.select("column", "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    values = running_sum(long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("c")), ["column"], ["x"], "c", "upto")
+    totals = values.groupBy("column").agg(F.max("upto").alias("n"))
+    need = totals.select("column", "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     need = need.withColumn("pos", F.col("q") * (F.col("n") - 1))
     need = need.select("column", "q", "pos", F.explode(F.array(
         F.floor("pos").cast("long"), F.ceil("pos").cast("long"))).alias("k")).distinct()
-    need = need.withColumn("r", F.col("k") + 1)
-    loc = need.join(hist, "column").where((F.col("r") > F.col("cum")) & (F.col("r") <= F.col("cum") + F.col("cnt")))
-    loc = loc.select("column", "q", "pos", "k", "b", (F.col("r") - F.col("cum")).alias("local"))
-    vals = (lb.join(loc.select("column", "b").distinct(), ["column", "b"])
-              .groupBy("column", "b", "x").agg(F.count(F.lit(1)).alias("c")))
-    vals = vals.withColumn("upto", F.sum("c").over(
-        Window.partitionBy("column", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = (loc.join(vals, ["column", "b"]).where((F.col("local") <= F.col("upto"))
-                                                  & (F.col("local") > F.col("upto") - F.col("c"))))
-    kv = hit.select("column", "q", "pos", "k", "x")
-    lo = kv.groupBy("column", "q", "pos").agg(F.min_by("x", "k").alias("v_lo"), F.max_by("x", "k").alias("v_hi"))
+    # at most 2 * len(qs) wanted ranks for each column
+    hit = values.join(need, "column").where((F.col("k") + 1 <= F.col("upto")) & (F.col("k") + 1 > F.col("upto") - F.col("c")))
+    lo = hit.groupBy("column", "q", "pos").agg(F.min_by("x", "k").alias("v_lo"), F.max_by("x", "k").alias("v_hi"))
     return lo.select("column", "q", (F.col("v_lo") + (F.col("pos") - F.floor("pos")) *
                                      (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 

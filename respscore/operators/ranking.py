@@ -1,17 +1,17 @@
-"""Exact ranks without a single-task window.
+"""Exact ranks and running sums without a single-task window.
 
 ``row_number().over(partitionBy(g).orderBy(k))`` sorts a whole group in one
 task, and ``orderBy(k)`` without a partition sorts everything in one task.
-Here the order is split into a coarse key that is monotone in the full order
-(an order column such as a length, plus a *bucket*: a hash prefix, or
-``id >> 16`` for unique integer ids) and a fine order inside each bucket.
+Here Spark draws the borders from the data: rows are range-partitioned by (group, order) once and written; each
+partition holds a stretch of the whole order, of about equal size whatever the groups' sizes are.
 
-1. count rows per (group, order, bucket)             -- partial aggregate
-2. cumulative offsets over those counts               -- small windows
-3. ``row_number`` inside each (group, order, bucket)  -- bounded partitions
-4. rank = offset + row_number                          -- equi-join on the bucket
+1. ``repartitionByRange``, sorted inside, written with each row's place   -- one shuffle, borders sampled by Spark
+2. rows (or sums) of each (group, partition)                              -- partial aggregate of the written table
+3. offsets of a group's partitions before this one                        -- windows over one row for each of them
+4. rank = offset + place inside the partition
 
-A group holding a third of all rows is spread over all of its buckets.
+A group holding a third of all rows is spread over a third of the partitions, and a group smaller than a partition
+costs one row in step 3.  Nothing depends on a number of buckets.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: bits of the row's place inside its partition in ``monotonically_increasing_id``
+PLACE_BITS = 33
+
 
 def hex_hash(*cols, seed: str | None = None) -> Column:
     """md5 hex of the columns joined by '#', optionally with a seed: a
@@ -34,34 +39,51 @@ def hash_int(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-def rank_within(df: DataFrame, group=(), order=(), bucket: Column | None = None, fine=(),
-                out: str = "rank") -> DataFrame:
-    """1-based rank of every row by (order..., bucket, fine...) inside ``group``.
+def _before(parts: DataFrame, group, value: str) -> Column:
+    """Sum of ``value`` over a group's earlier partitions."""
+    w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def _joined(rows: DataFrame, parts: DataFrame, group) -> DataFrame:
+    """Rows with the figures of their (group, partition); a null is a group like any other."""
+    named = parts.select(*[F.col(c).alias(f"_of_{c}") for c in ("_p", *group)], *[c for c in parts.columns if c not in ("_p", *group)])
+    same = rows["_p"] == named["_of__p"]
+    for c in group:
+        same = same & rows[c].eqNullSafe(named[f"_of_{c}"])
+    return rows.join(named, same).drop(*[f"_of_{c}" for c in ("_p", *group)])
+
+
+def rank_within(df: DataFrame, group=(), order=(), out: str = "rank") -> DataFrame:
+    """1-based rank of every row by ``order`` inside ``group`` (``order`` should be unique in a group).
 
-    ``bucket`` must be monotone with the fine order inside one order key (for
-    example ``substring(h, 1, 3)`` when ``fine`` starts with ``h``).
+    All columns are written once; callers pass what they need.
     """
-    g, o, fn = list(group), list(order), list(fine)
-    d = df.withColumn("_b", bucket if bucket is not None else F.lit(0))
-    c2 = d.groupBy(*g, *o, "_b").agg(F.count(F.lit(1)).alias("_n2"))
-    w2 = Window.partitionBy(*(g + o)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    c2 = c2.withColumn("_off", F.coalesce(F.sum("_n2").over(w2), F.lit(0)))
-    if o:
-        c1 = c2.groupBy(*g, *o).agg(F.sum("_n2").alias("_n1"))
-        w1 = Window.partitionBy(*g).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
-        c1 = c1.withColumn("_off1", F.coalesce(F.sum("_n1").over(w1), F.lit(0))).drop("_n1")
-        c2 = c2.join(c1, g + o).withColumn("_off", F.col("_off") + F.col("_off1")).drop("_off1")
-    w3 = Window.partitionBy(*(g + o + ["_b"])).orderBy(*fn)
-    d = d.withColumn("_rn", F.row_number().over(w3))
-    d = d.join(c2.drop("_n2"), g + o + ["_b"])
-    return d.withColumn(out, (F.col("_off") + F.col("_rn")).cast("long")).drop("_b", "_rn", "_off")
-
-
-def rank_by_hash(df: DataFrame, h: str, key: str, group=(), out: str = "rank", digits: int = 3) -> DataFrame:
-    """Rank inside ``group`` by (hex hash column ``h``, ``key``)."""
-    return rank_within(df, group=group, bucket=F.substring(h, 1, digits), fine=[h, key], out=out)
-
-
-def rank_by_id(df: DataFrame, key: str, group=(), out: str = "rank", shift: int = 16) -> DataFrame:
-    """Rank inside ``group`` by a unique integer key (buckets hold <= 2**shift ids)."""
-    return rank_within(df, group=group, bucket=F.shiftrightunsigned(F.col(key), shift), fine=[key], out=out)
+    g, keys = list(group), [*group, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed, "ranked").withColumn("_p", F.shiftright("_at", PLACE_BITS))
+    parts = placed.groupBy(*g, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    parts = parts.withColumn("_off", _before(parts, g, "_n")).select(*g, "_p", "_first", "_off")
+    d = _joined(placed, parts, g)
+    return d.withColumn(out, (F.col("_off") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_at", "_p", "_first", "_off")
+
+
+def running_sum(df: DataFrame, group, order, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows up to this one in ``order`` inside ``group``."""
+    g, keys = list(group), [*group, *order]
+    placed = cut_lineage(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "running")
+    parts = placed.groupBy(*g, "_p").agg(F.sum(value).alias("_n"))
+    parts = parts.withColumn("_off", _before(parts, g, "_n")).select(*g, "_p", "_off")
+    inside = Window.partitionBy(*g, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = _joined(placed.withColumn("_in", F.sum(value).over(inside)), parts, g)
+    return d.withColumn(out, F.col("_off") + F.col("_in")).drop("_p", "_in", "_off")
+
+
+def rank_by_hash(df: DataFrame, h: str, key: str, group=(), out: str = "rank") -> DataFrame:
+    """Rank inside ``group`` by (hash column ``h``, ``key``)."""
+    return rank_within(df, group=group, order=[h, key], out=out)
+
+
+def rank_by_id(df: DataFrame, key: str, group=(), out: str = "rank") -> DataFrame:
+    """Rank inside ``group`` by a unique key."""
+    return rank_within(df, group=group, order=[key], out=out)

@@ -31,10 +31,19 @@ def batched(spark, sf):
     return BA.length_batches(sequences(spark, sf), "response_id", "len", BS)
 
 
+def lengths(spark, sf):
+    """(response_id, len): what ranks need, without the tokens."""
+    return sequences(spark, sf).select("response_id", "len")
+
+
+def batched_lengths(spark, sf):
+    return BA.length_batches(lengths(spark, sf), "response_id", "len", BS)
+
+
 @register("length_batches", SEQ + "SELECT response_id, CAST(len AS BIGINT) AS len, rank, batch_id FROM bb")
 def q_length_batches(spark, sf):
-    """Length-sorted batches via bucketed ranks (no global single-task sort)."""
-    return batched(spark, sf).select("response_id", "len", "rank", "batch_id")
+    """Length-sorted batches via ranks over range partitions (no global single-task sort)."""
+    return batched_lengths(spark, sf).select("response_id", "len", "rank", "batch_id")
 
 
 @register("input_batches", SEQ + """
@@ -42,7 +51,7 @@ def q_length_batches(spark, sf):
 SELECT *, (rank - 1) // 8 AS batch_id FROM ib""")
 def q_input_batches(spark, sf):
     """E2 for evaluation: batches in input order, no sorting by length."""
-    return BA.input_batches(sequences(spark, sf), "response_id", BS).select("response_id", "len", "rank", "batch_id")
+    return BA.input_batches(lengths(spark, sf), "response_id", BS).select("response_id", "len", "rank", "batch_id")
 
 
 SHUF = SEQ + """
@@ -55,7 +64,7 @@ SHUF = SEQ + """
 @register("shuffled_batches", SHUF + "SELECT batch_id, size, batch_pos FROM sh")
 def q_shuffled_batches(spark, sf):
     """Shuffled batch order, last batch kept last."""
-    return BA.shuffled_batches(batched(spark, sf))
+    return BA.shuffled_batches(batched_lengths(spark, sf))
 
 
 @register("backsort", SHUF + """
@@ -64,7 +73,7 @@ SELECT response_id, row_number() OVER (ORDER BY response_id) AS input_pos,
 FROM bb JOIN sh USING (batch_id)""")
 def q_backsort(spark, sf):
     """Emitted position and input position of every row (a permutation pair)."""
-    b = batched(spark, sf)
+    b = batched_lengths(spark, sf)
     e = BA.emit_order(b, BA.shuffled_batches(b), BS)
     return BA.input_positions(e, "response_id").select("response_id", "input_pos", "emit_pos")
 
@@ -87,7 +96,7 @@ def q_pad_and_mask(spark, sf):
 SELECT batch_id, round(1 - sum(least(len, 512)) / (count(*) * least(max(len), 512)), 6) AS waste
 FROM bb GROUP BY batch_id""")
 def q_padding_waste(spark, sf):
-    return rounded(BA.padding_waste(batched(spark, sf), "len", 512))
+    return rounded(BA.padding_waste(batched_lengths(spark, sf), "len", 512))
 
 
 @register("joint_sequence", FX.with_views("responses", "prompts") + r"""

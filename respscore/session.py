@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.respscore.spread": "true",  # sources/fixtures.py: for tables of a few row groups
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -11,22 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Session setting: "true" deals the documents out by id before any text work.
+SPREAD = "spark.respscore.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute rows by ``key`` only when the scan is under-split.
+    """Hash-distribute rows by ``key`` if the session asks for it (``SPREAD``), else leave them as scanned.
 
-    A big table on a cluster arrives as thousands of splits and is left
-    alone (no shuffle).  A table stored as a few large row groups would run
-    all row-local text work in a few tasks; then rows are spread over the
-    cluster's cores, partitioned by the row key that later aggregates use.
+    A table that arrives as thousands of splits needs no shuffle.  For one stored as a few large row groups, whose row-local
+    text work would run in a few tasks, the setting deals the rows out by the key that later aggregates use.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(key)
 
 
 def prompt_of(spark, sf_dir, doc_id: str = "doc_id") -> Column:
@@ -75,9 +76,7 @@ def loss_log(spark, sf_dir) -> DataFrame:
     """run_id, step, loss, train_loss: ordered loss series per run."""
     from ..operators.ranking import rank_within
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    # step = rank by (ts, event_id) inside the run; buckets of one second keep a
-    # hot run from sorting in one task
-    r = rank_within(e, group=["user_id"], bucket=F.date_trunc("second", "ts"), fine=["ts", "event_id"], out="step")
+    r = rank_within(e, group=["user_id"], order=["ts", "event_id"], out="step")
     return r.select(F.col("user_id").alias("run_id"), "step",
                     F.col("value").alias("loss"),
                     (F.col("event_id") % 20).cast("double").alias("train_loss"))

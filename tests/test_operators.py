@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -32,15 +34,12 @@ def test_plateau_fixture(spark):
     assert ME.plateau_stop(log, patience=2, delta=0.1).first()["stop_step"] == 6
 
 
-def py_plateau(vals, patience, delta):
-    best, cnt = math.inf, 0
-    for i, v in enumerate(vals, 1):
-        if v < best:
-            best, cnt = v, 0
-        elif v > best + delta:
-            cnt += 1
-            if cnt >= patience:
-                return i
+def first_stop(vals, patience, delta):
+    """The definition: since the first place of the minimum so far, ``patience`` values lie above it by more than delta."""
+    for i in range(len(vals)):
+        m = vals.index(min(vals[:i + 1]))
+        if sum(v > vals[m] + delta for v in vals[m + 1:i + 1]) >= patience:
+            return i + 1
     return None
 
 
@@ -51,7 +50,7 @@ def test_plateau_matches_simulation(spark):
     for run in range(60):
         vals = [rnd.random() for _ in range(40)]
         rows += [(run, i + 1, v) for i, v in enumerate(vals)]
-        want[run] = py_plateau(vals, 5, 0.004)
+        want[run] = first_stop(vals, 5, 0.004)
     log = spark.createDataFrame(rows, "run_id long, step long, loss double")
     got = {r["run_id"]: r["stop_step"] for r in ME.plateau_stop(log, patience=5, delta=0.004).collect()}
     assert got == want
@@ -70,7 +69,7 @@ def test_rank_within_matches_row_number(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"),
                                      (F.col("id") % 17).alias("len"))
     h = df.withColumn("h", RK.hex_hash("k"))
-    got = RK.rank_within(h, group=["g"], order=["len"], bucket=F.substring("h", 1, 2), fine=["h", "k"])
+    got = RK.rank_within(h, group=["g"], order=["len", "h", "k"])
     from pyspark.sql import Window
     want = h.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("len", "h", "k")))
     j = got.join(want.select("k", "want"), "k")
@@ -180,16 +179,48 @@ def test_bucketed_scans_match_windows(spark):
     assert a == b
 
 
-def test_exact_quantiles_small_buckets(spark):
+def test_exact_quantiles(spark):
     import numpy as np
     from respscore.operators import profile as PR
     rnd = np.random.default_rng(5)
     vals = list(rnd.normal(size=500)) + [3.0] * 200 + [float(i) for i in range(40)]
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = {r["q"]: r["value"] for r in PR.exact_quantiles(df, ["x"], (0.1, 0.25, 0.5, 0.75, 0.99), buckets=7).collect()}
+    got = {r["q"]: r["value"] for r in PR.exact_quantiles(df, ["x"], (0.1, 0.25, 0.5, 0.75, 0.99)).collect()}
     for q, v in got.items():
         assert abs(v - float(np.quantile(vals, q))) < 1e-9
 
+
+def test_exact_quantiles_of_heavy_tails(spark):
+    """Values over twenty orders of magnitude, one value in a third of the rows, a constant and an empty column."""
+    import numpy as np
+    from respscore.operators import profile as PR
+    rnd = np.random.default_rng(9)
+    heavy = np.concatenate([np.exp(rnd.normal(size=3000) * 8), np.zeros(1500)])
+    df = spark.createDataFrame([(float(v), 7.0, None) for v in heavy], "x double, c double, e double").repartition(5)
+    got = {(r["column"], r["q"]): r["value"] for r in PR.exact_quantiles(df, ["x", "c", "e"], (0.0, 0.2, 0.5, 0.9, 1.0)).collect()}
+    assert {k for k, _ in got} == {"x", "c"}
+    for (c, q), v in got.items():
+        assert v == (7.0 if c == "c" else pytest.approx(float(np.quantile(heavy, q)), rel=1e-9))
+
+
+def test_ranks_of_a_hot_group(spark):
+    """A group with a third of the rows, a null group and an ungrouped rank; partitions stay even."""
+    from pyspark.sql import Window
+    df = spark.range(0, 30_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 1000 == 1, None)
+                                       .otherwise((F.col("id") % 200).cast("int")).alias("g")).repartition(4)
+    for group in (["g"], []):
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy(*group).orderBy("k")))
+        got = RK.rank_within(df, group=group, order=["k"])
+        assert got.count() == 30_000
+        assert got.join(want.select("k", "want"), "k").where("rank <> want").count() == 0
+        sums = RK.running_sum(df.withColumn("v", F.col("k") % 5), group, ["k"], "v", "upto")
+        want = df.withColumn("want", F.sum(F.col("k") % 5).over(Window.partitionBy(*group).orderBy("k")))
+        assert sums.join(want.select("k", "want"), "k").where("upto <> want").count() == 0
+    sizes = [r["n"] for r in df.repartitionByRange("g", "k").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 30_000 / len(sizes)
+    assert RK.rank_within(df.limit(0), order=["k"]).count() == 0
+
+
 def test_v2_features_vary(spark):
     """Marks, capitals and digits of the original text survive the correction."""
     from respscore.plans.feature_table_v2 import raw_features_v2
