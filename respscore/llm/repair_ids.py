@@ -37,62 +37,90 @@ SCHEMA = ("shard int, block int, first long, n_ids long, doc_ids binary, doc_nul
           "base long, rules binary, lengths binary, sequence binary")
 
 
+def sorted_pairs(pairs: np.ndarray, pair_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and sorted values.  Pair and place are sorted as one number where they fit, which is faster."""
+    bits = len(pairs).bit_length()
+    if pair_bits + bits > 62:
+        order = np.argsort(pairs, kind="stable")
+        return order, pairs[order]
+    packed = np.sort(pairs << bits | np.arange(len(pairs)))
+    return packed & ((1 << bits) - 1), packed >> bits
+
+
 def compress(ids: np.ndarray, base: int, end: int, at_least: int = 8):
     """Re-Pair: (sequence, rules, lengths).  Nonterminal ``base + k`` stands for the pair ``rules[k]``.
 
-    Rounds go on until no pair stands ``at_least`` times without overlap.  One round counts all pairs by sorting; at each
+    Rounds go on until no pair stands ``at_least`` times without overlap.  A round counts the pairs; at each
     place the pair yields to a neighbour that is more frequent, of a run of equal pairs every other one counts, and
     pairs that keep ``at_least`` places are replaced there.  The most frequent pair keeps all its places, so every round
     replaces some.  Pairs that would cross a document's end are left alone.
+
+    Symbols are linked to their neighbours, and ``live`` lists the places whose pair may still be replaced: after a round,
+    those of frequent pairs that stayed and those beside a new symbol.  A pair that is not frequent never becomes so, as only pairs
+    with a new symbol gain places; so later rounds look at few places.
     """
-    sequence = ids.astype(np.int64)
+    symbol = np.append(ids.astype(np.int64), -1)  # the last place is the end of the linked symbols
+    after, before = np.arange(1, len(symbol) + 1, dtype=np.int32), np.arange(-1, len(symbol) - 1, dtype=np.int32)
+    stands, marked = np.ones(len(symbol), bool), np.zeros(len(symbol), bool)
+    stands[-1] = False
     rules, lengths = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
-    closed = np.zeros(base, bool)  # symbols whose expansion ends a document
+    shift = (base + len(ids)).bit_length()  # a pair is one number; there are fewer rules than ids, as each takes places away
+    size, closed = np.ones(base, np.int64), np.zeros(base, bool)  # closed: symbols whose expansion ends a document
     closed[end] = True
-    size = np.ones(base, np.int64)
-    while len(sequence) >= 2 * at_least:
-        pairs = (sequence[:-1] << 32) | sequence[1:]
-        pairs[closed[sequence[:-1]]] = -1
-        again = np.flatnonzero((pairs[1:] == pairs[:-1]) & (pairs[1:] >= 0)) + 1
+    live = np.flatnonzero(ids[:-1] != end).astype(np.int32)
+    while len(live) >= at_least:
+        pairs = symbol[live] << shift | symbol[after[live]]
+        beside = after[live[:-1]] == live[1:]  # neighbours among the live places
+        again = np.flatnonzero(beside & (pairs[1:] == pairs[:-1])) + 1
+        odd = np.empty(0, np.int64)
         if len(again):
             first = np.flatnonzero(np.diff(again, prepend=-1) > 1)
             offset = np.arange(len(again)) - np.repeat(first, np.diff(np.append(first, len(again))))
-            pairs[again[offset % 2 == 0]] = -1
-        ordered = np.sort(pairs)
+            odd = again[offset % 2 == 0]
+            pairs[odd] = -1
+        order, ordered = sorted_pairs(pairs, 2 * shift)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
-        values = ordered[starts]
-        often = np.flatnonzero((counts >= at_least) & (values >= 0))
+        often = np.flatnonzero((counts >= at_least) & (ordered[starts] >= 0))
         if not len(often):
             break
-        values, counts = values[often], counts[often]
-        order = np.argsort(-counts, kind="stable")
-        values = values[order]
-        # a table by hash: of pairs that share a place the most frequent one is replaced in this round
-        place = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).view(np.int64)
-        none = len(values)
-        table = np.full(1 << 16, none, np.int32)
-        table[place(values)[::-1]] = np.arange(none, dtype=np.int32)[::-1]
-        rank = np.full(len(pairs) + 2, none, np.int32)  # one place more on either side
-        rank[1:-1] = table[place(pairs)]
-        rank[1:-1][np.append(values, -2)[rank[1:-1]] != pairs] = none
-        at = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] < rank[2:]))
-        chosen = rank[1:-1][at]
-        used = np.bincount(chosen, minlength=none) >= at_least
-        at, chosen = at[used[chosen]], chosen[used[chosen]]
-        used = np.flatnonzero(used)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        values, none = ordered[starts[often]], len(often)
+        rank_of = np.full(len(starts), none, np.int32)
+        rank_of[often] = np.arange(none, dtype=np.int32)
+        rank = np.empty(len(live), np.int32)  # of pairs that share a place the most frequent one is replaced in this round
+        rank[order] = np.repeat(rank_of, counts)
+        wins = rank < none
+        wins[1:] &= ~beside | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] < rank[1:])
+        at = np.flatnonzero(wins)
+        used = np.bincount(rank[at], minlength=none) >= at_least
+        at = at[used[rank[at]]]
+        chosen, used = rank[at], np.flatnonzero(used)
         number = np.zeros(none, np.int64)
         number[used] = len(size) + np.arange(len(used))
-        sequence[at] = number[chosen]
-        keep = np.ones(len(sequence), bool)
-        keep[at + 1] = False
-        sequence = sequence[keep]
-        new = np.stack((values[used] >> 32, values[used] & 0xFFFFFFFF), 1)
+
+        new = np.stack((values[used] >> shift, values[used] & ((1 << shift) - 1)), 1)
         rules.append(new)
         lengths.append(size[new[:, 0]] + size[new[:, 1]])
         closed = np.concatenate((closed, closed[new[:, 1]]))
         size = np.concatenate((size, lengths[-1]))
-    return sequence, np.concatenate(rules), np.concatenate(lengths)
+
+        p = live[at]
+        gone = after[p]
+        symbol[p] = number[chosen]
+        stands[gone] = False
+        after[p] = after[gone]
+        before[after[p]] = p
+        marked[live[rank < none]] = True
+        marked[live[odd]] = True
+        marked[p] = True
+        marked[before[p][before[p] >= 0]] = True
+        marked &= stands
+        live = np.flatnonzero(marked).astype(np.int32)
+        marked[live] = False
+        live = live[~closed[symbol[live]] & (symbol[after[live]] >= 0)]
+    return symbol[stands], np.concatenate(rules), np.concatenate(lengths)
 
 
 def expansions(base: int, rules: np.ndarray) -> np.ndarray:
