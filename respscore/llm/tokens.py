@@ -35,6 +35,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class WordIds(dict):
+    """Ids of words under a tokenizer that drops white space, encoded when they are first asked for."""
+
+    def __init__(self, encoder: "PieceEncoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        encoder, bare = self.encoder, word.rstrip(MARKS)
+        if bare.isalpha() or LATIN.fullmatch(bare):
+            ids = self[bare] + encoder.tail(word[len(bare):]) if len(bare) < len(word) else encoder.word(word, True)
+        else:
+            ids, = encoder.whole([word])
+            if ODD.search(word):
+                return ids
+        self[word] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts given as UTF-8 bytes to little-endian unsigned 32-bit ids.
 
@@ -50,6 +69,7 @@ class PieceEncoder:
         self.model = self.library.model
         self.feed, = self.whole([b"\n"])
         self.tails: dict[bytes, bytes] = {}
+        self.words = WordIds(self)
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([str(t, "utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -64,7 +84,7 @@ class PieceEncoder:
 
     def head(self, text: bytes) -> bytes:
         """The first piece of the byte-level kind: what stands before the first blank or line feed."""
-        return b"" if self.drops_space else re.split(rb"[ \n]", text, maxsplit=1)[0]
+        return re.split(rb"[ \n]", text, maxsplit=1)[0]
 
     def word(self, letters: bytes, blank: bool) -> bytes:
         """Ids of a run of Latin letters, which is one unit of the tokenizer's merges."""
@@ -101,7 +121,7 @@ class PieceEncoder:
                 cache[k] = self.feed + self.word(bare[1:], False) + (self.tail(k[len(bare):]) if len(bare) < len(k) else b"")
             else:
                 other.append(k)
-        cache.update(zip(other, self.whole(other if self.drops_space else [k if k[:1] == b"\n" else b" " + k for k in other])))
+        cache.update(zip(other, self.whole([k if k[:1] == b"\n" else b" " + k for k in other])))
         return odd
 
     @staticmethod
@@ -114,22 +134,32 @@ class PieceEncoder:
         except ValueError:
             return out
 
+    def encode_words(self, texts: list[bytes]) -> list[bytes]:
+        """For tokenizers that drop white space: words are encoded one by one, but for texts with special strings."""
+        ids = self.words.__getitem__
+        out = [self.whole([t])[0] if b"<|" in t else b"".join(map(ids, self.cuts(t))) for t in texts]
+        if len(self.words) > self.cache_size:
+            self.words.clear()
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if self.drops_space:
+            return self.encode_words(texts)
         get = self.cache.get
         pieces = [self.cuts(t) for t in texts]
         found = [list(map(get, p)) for p in pieces]
         gaps = [self.gaps(f) for f in found]
         odd = self.learn({p[i] for p, g in zip(pieces, gaps) for i in g})
-        heads = [b""] * len(texts) if self.drops_space else self.whole([self.head(t) for t in texts])
+        heads = self.whole([self.head(t) for t in texts])
         whole, out, at = [], [], self.cache.__getitem__
         for text, p, f, g, head in zip(texts, pieces, found, gaps, heads):
-            if odd and any(p[i] in odd for i in g) or not self.drops_space and ODD.search(self.head(text)):
-                if ODD.search(text) and not (self.drops_space and b"<|" not in text) or not self.drops_space and UNSAFE.search(text):
+            if odd and any(p[i] in odd for i in g) or ODD.search(self.head(text)):
+                if ODD.search(text) or UNSAFE.search(text):
                     out.append(None)
                     whole.append(text)
                     continue
                 own = [k for k in {p[i] for i in g} if k in odd]
-                own = dict(zip(own, self.whole([k if self.drops_space or k[:1] == b"\n" else b" " + k for k in own])))
+                own = dict(zip(own, self.whole([k if k[:1] == b"\n" else b" " + k for k in own])))
                 for i in g:
                     f[i] = own[p[i]] if p[i] in own else at(p[i])
             else:
