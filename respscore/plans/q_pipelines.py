@@ -8,9 +8,12 @@ from ..functions import text as T
 from ..operators import scale as SC
 from ..sources import fixtures as FX
 from . import duck as D
+from ..session import cut_lineage
 from .feature_table import FEATURES, feature_table
+from .feature_table_v2 import OUT_NAMES, SCALED, feature_table_v2
+from .q_ngrams import _sql_grams
 from .q_tfidf import TFIDF_BODY
-from .q_vocab import KNOWN_BODY, MISSPELLED_BODY
+from .q_vocab import COMPOUND_BODY, KNOWN_BODY, MISSPELLED_BODY, lemma_query
 from .registry import register, rounded
 
 
@@ -113,11 +116,48 @@ def q_nonfinite_to_zero(spark, sf):
     return rounded(SC.nonfinite_to_zero(raw))
 
 
-@register("feature_table_v2")
+def _v2_sql():
+    ratio = lambda x, y: D.ratio(x, y)
+    t = "corrected_text"
+    overlap = lambda left, right, on: (
+        f"(SELECT l.response_id, l.n, sum(greatest(l.cnt, r.cnt)) AS v FROM {left} l JOIN {right} r ON l.{on} = r.{on} AND l.n = r.n AND l.rank = r.rank "
+        "AND l.gram = r.gram GROUP BY l.response_id, l.n)")
+    wide = lambda src, name: ", ".join(
+        f"coalesce((SELECT v FROM {src} x WHERE x.response_id = d.response_id AND x.n = {n}), 0) AS n{n}grams_{name}_cnt" for n in (2, 3, 4))
+    scaled = ", ".join(
+        f"round(CASE WHEN max({c}) OVER p > min({c}) OVER p THEN CAST({c} - min({c}) OVER p AS DOUBLE) / CAST(max({c}) OVER p - min({c}) OVER p AS DOUBLE) "
+        f"ELSE 0.0 END, 6) AS {c}" for c in (OUT_NAMES[x] for x in SCALED))
+    return FX.with_views("responses", "prompts", "dictionary", "word_pairs") + KNOWN_BODY + MISSPELLED_BODY + f"""
+, corrected AS MATERIALIZED (WITH {COMPOUND_BODY})
+, cresp AS MATERIALIZED (SELECT r.response_id, r.prompt_id, c.corrected_text, c.distance, c.corrected_text AS text FROM responses r JOIN corrected c USING (response_id))
+, tfs AS (SELECT * FROM (WITH {TFIDF_BODY.replace('responses', 'cresp').strip().lstrip(',')} SELECT response_id, tfidf_scores FROM sums))
+, cpre AS (SELECT response_id, {D.preprocess('text')} AS t FROM cresp)
+, ppre AS (SELECT prompt_id, {D.preprocess('prompt_text')} AS t FROM prompts)
+, cl AS {lemma_query('cpre', 'response_id')}
+, pl AS {lemma_query('ppre', 'prompt_id')}
+, ga AS {_sql_grams('responses', 'response_id', 'text', ', prompt_id')}
+, gc AS {_sql_grams('cresp', 'response_id', 'text', ', prompt_id')}
+, gp AS {_sql_grams('prompts', 'prompt_id', 'prompt_text')}
+, oc AS MATERIALIZED {overlap('ga', 'gc', 'response_id')}
+, oo AS MATERIALIZED {overlap('gc', 'gp', 'prompt_id')}
+, pn AS (SELECT prompt_id, {D.stopword_cnt('prompt_text')} AS prompt_length, {D.distinct_words("coalesce(lemmatized, '')")} AS prompt_dw
+    FROM prompts LEFT JOIN pl USING (prompt_id))
+, d AS (SELECT response_id, prompt_id, distance, {D.char_len(t)} AS text_length, {D.stopword_cnt(t)} AS stop_cnt, {D.punct_cnt(t)} AS punctuation_cnt,
+    {D.entity_cnt(t)} AS entities, {D.token_cnt(t)} AS text_pos, {D.distinct_words("coalesce(lemmatized, '')")} AS text_dw FROM cresp LEFT JOIN cl USING (response_id))
+, raw AS MATERIALIZED (SELECT d.response_id, d.prompt_id, miss.text_misspelled_cnt AS misspelled_text_cnt, tfs.tfidf_scores, text_pos, entities, distance, stop_cnt,
+    punctuation_cnt, {ratio('text_dw', 'prompt_dw')} AS different_word_cnt_ratio, {ratio('text_length', 'prompt_length')} AS length_ratio,
+    {wide('oc', 'correct')}, {wide('oo', 'cooccurrence')}
+    FROM d JOIN pn USING (prompt_id) JOIN miss USING (response_id) JOIN tfs USING (response_id))
+SELECT response_id, prompt_id, {scaled}, round(different_word_cnt_ratio, 6) AS different_word_cnt_ratio, round(length_ratio, 6) AS length_ratio
+FROM raw WINDOW p AS (PARTITION BY prompt_id)"""
+
+
+@register("feature_table_v2", _v2_sql())
 def q_feature_table_v2(spark, sf):
-    """Pipeline #2: 13 scaled + 2 raw features of the spelling-corrected responses (rows-only check)."""
-    from .feature_table_v2 import feature_table_v2
-    return rounded(feature_table_v2(FX.responses(spark, sf), FX.prompts(spark, sf), FX.dictionary(spark, sf)))
+    """Pipeline #2: 13 scaled + 2 raw features of the corrected responses (words split and merged too)."""
+    dictionary = cut_lineage(FX.dictionary(spark, sf), "dictionary")
+    pairs = cut_lineage(FX.word_pairs(spark, sf), "word-pairs")
+    return rounded(feature_table_v2(FX.responses(spark, sf), FX.prompts(spark, sf), dictionary, pairs))
 
 
 SCREEN_FT = RAW_SQL + f"""

@@ -150,9 +150,23 @@ def q_pair_features(spark, sf):
         .alias("text_different_word_ratio")))
 
 
-@register("subword_len")
+SUBWORD_SQL = FX.with_views("responses", "dictionary").replace("WITH", "WITH RECURSIVE", 1) + r"""
+, ch AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(word, '')) AS c FROM dictionary) WHERE c <> '')
+, vb AS (SELECT word AS p FROM dictionary UNION SELECT c FROM ch)
+, vc AS MATERIALIZED (SELECT p AS piece FROM vb UNION SELECT '##' || p FROM vb)
+, lg AS (SELECT max(length(piece)) AS l FROM vc)
+, tk AS (SELECT response_id, unnest(regexp_extract_all(text, '\w+|[^\w\s]')) AS word FROM responses)
+, seg AS (SELECT DISTINCT word, 0 AS pos, 0 AS n FROM tk
+    UNION ALL SELECT word, CAST(pos + max(k) AS INTEGER), n + 1 FROM (SELECT word, pos, n, unnest(range(1, least(length(word) - pos, l) + 1)) AS k
+    FROM seg, lg WHERE pos < length(word)) x JOIN vc ON vc.piece = (CASE WHEN n > 0 THEN '##' ELSE '' END) || substr(word, CAST(pos + 1 AS BIGINT), k) GROUP BY word, pos, n)
+, done AS (SELECT word, n FROM seg WHERE pos = length(word))
+, per AS (SELECT response_id, sum(coalesce(done.n, 1)) AS c FROM tk LEFT JOIN done USING (word) GROUP BY response_id)
+SELECT r.response_id, CAST(coalesce(c, 0) AS BIGINT) AS tokenized_text_len FROM responses r LEFT JOIN per USING (response_id)"""
+
+
+@register("subword_len", SUBWORD_SQL)
 def q_subword_len(spark, sf):
-    """Sub-word length of each response by greedy longest match (rows-only check)."""
+    """Sub-word length of each response by greedy longest match."""
     from ..operators import batching as BA
     from ..operators import subword as SW
     vocab = SW.wordpiece_vocab(FX.dictionary(spark, sf))
