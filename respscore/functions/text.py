@@ -22,8 +22,6 @@ KEEP_CLASS = r"[^A-Za-z0-9']"
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # fixed values: a token of the language tokenizer stand-in (word run or one mark)
 TOKEN_PATTERN = r"\w+|[^\w\s]"
-# fixed values: strings a float parser accepts (numbers are never misspelled)
-NUMBER_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|nan|inf|infinity)$"
 
 
 def _c(x) -> Column:

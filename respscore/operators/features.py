@@ -82,12 +82,13 @@ def shared_ngrams(df: DataFrame, feature: str = "text", prompt: str = "prompt_te
 
     The prompt's gram arrays arrive with the (broadcast-sized) prompt row, so
     the overlap is a per-row hash intersection; nothing is exploded or
-    shuffled per gram.
+    shuffled per gram.  The prompt's grams are filtered already, so a gram in
+    both passes the filter: the response's grams need none of their own.
     """
     cleaned = F.col("_clean") if "_clean" in df.columns else T.clean(feature)
     out = df.withColumn("_tok", T.word_tokens(cleaned))
     for n in grams:
         out = out.withColumn(
             f"shared_{n}grams",
-            T.shared_count(T.filter_edge_chars(T.ngrams("_tok", n)), f"{prompt}_{n}grams"))
+            T.shared_count(T.ngrams("_tok", n), f"{prompt}_{n}grams"))
     return out.drop("_tok", "_clean", *[f"{prompt}_{n}grams" for n in grams])

@@ -1,12 +1,10 @@
-"""Sub-word token length (S13) by greedy longest match, as joins.
+"""Sub-word token length (S13) by greedy longest match, in one join.
 
 The vocabulary is a table of pieces: whole words, ``##``-continuations and
-single characters.  Only *distinct* words are segmented.  Each round takes,
-for every unfinished word, the longest vocabulary piece at its current
-position (all prefixes up to the longest piece, semi-joined with the
-vocabulary), so the number of rounds is the largest number of pieces in one
-word.  A word with a position no piece covers counts as one unknown token.
-Lineage is cut every round (reliable checkpoint).
+single characters.  Only *distinct* words are segmented.  Every stretch of a word, up to the longest piece, is joined
+with the vocabulary once; the longest hit at each position is what greedy matching would take there, and a fold over a
+word's positions follows the hits from its begin.  A word that is not covered to its end counts as one unknown token.
+Work is linear in a word's length.
 """
 
 from __future__ import annotations
@@ -14,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 
 def wordpiece_vocab(words: DataFrame) -> DataFrame:
     """(piece): words, ##words, their characters and ##characters."""
@@ -27,31 +23,22 @@ def wordpiece_vocab(words: DataFrame) -> DataFrame:
 
 def segment_counts(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, pieces) for distinct ``words`` against ``vocab``."""
-    longest = vocab.agg(F.max(F.length("piece")).alias("L")).first()["L"] or 1
-    state = words.select("word").distinct().select("word", F.col("word").alias("rest"),
-                                                    F.lit(0).alias("n"), F.lit(False).alias("unk"))
-    finished = []
-    while True:  # every round shortens each unfinished word or marks it unknown, so the rounds end
-        state = cut_lineage(state)
-        done = state.where((F.length("rest") == 0) | F.col("unk"))
-        finished.append(done.select("word", F.when(F.col("unk"), F.lit(1)).otherwise(F.col("n")).alias("pieces")))
-        active = state.where((F.length("rest") > 0) & ~F.col("unk"))
-        if active.isEmpty():
-            break
-        cand = active.select("word", "rest", "n", F.explode(F.sequence(
-            F.lit(1), F.least(F.length("rest"), F.lit(longest)))).alias("k"))
-        prefix = F.concat(F.when(F.col("n") > 0, F.lit("##")).otherwise(F.lit("")),
-                          F.substring("rest", F.lit(1), F.col("k")))
-        cand = cand.withColumn("piece", prefix)
-        best = cand.join(vocab, "piece", "left_semi").groupBy("word").agg(F.max("k").alias("k"))
-        state = active.join(best, "word", "left").select(
-            "word", F.when(F.col("k").isNull(), F.col("rest")).otherwise(
-                F.expr("substring(rest, k + 1)")).alias("rest"),
-            (F.col("n") + 1).alias("n"), F.col("k").isNull().alias("unk"))
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    return out
+    longest = vocab.agg(F.max(F.length("piece"))).scalar()
+    chars = words.select("word").distinct().where(F.length("word") > 0).select("word", F.split("word", "").alias("c"), longest.alias("most"))
+    place = lambda c, i: F.struct((i + 1).alias("pos"), F.slice("c", i + 1, F.col("most")).alias("tail"))
+    tails = chars.select("word", F.explode(F.transform("c", place)).alias("p")).select("word", "p.pos", "p.tail")
+    mark = F.when(F.col("pos") > 1, F.lit("##")).otherwise(F.lit(""))
+    stretches = (tails.select("word", "pos", "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k"))
+                 .select("word", "pos", "k", F.concat(mark, F.array_join(F.slice("tail", F.lit(1), F.col("k")), "")).alias("piece")))
+    hits = stretches.join(vocab, "piece", "left_semi").groupBy("word", "pos").agg(F.max("k").alias("k"))
+    per = hits.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("hits"))
+    begin = F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"))
+    step = lambda s, h: F.when(h["pos"] == s["at"], F.struct((s["at"] + h["k"]).alias("at"), (s["n"] + 1).alias("n"))).otherwise(s)
+    walked = per.select("word", F.aggregate("hits", begin, step).alias("s"))
+    covered = F.col("s.at") == F.length("word") + 1
+    found = walked.select("word", F.when(covered, F.col("s.n")).otherwise(F.lit(1)).alias("pieces"))
+    return words.select("word").distinct().join(found, "word", "left").select(
+        "word", F.when(F.length("word") == 0, F.lit(0)).otherwise(F.coalesce("pieces", F.lit(1))).alias("pieces"))
 
 
 def subword_len(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "subword_len") -> DataFrame:

@@ -22,9 +22,10 @@ def test_tables_can_be_discarded(spark):
 
 def test_long_words_keep_their_pieces(spark):
     from respscore.operators import subword
-    words = spark.createDataFrame([("a" * 70,), ("aaa",), ("b",)], "word string")
+    words = spark.createDataFrame([("a" * 70,), ("aaa",), ("b",), ("a" * 20_000,), ("aab",), ("",)], "word string")
     vocab = spark.createDataFrame([("a",), ("##a",)], "piece string")
-    assert {r["word"]: r["pieces"] for r in subword.segment_counts(words, vocab).collect()} == {"a" * 70: 70, "aaa": 3, "b": 1}
+    assert {r["word"]: r["pieces"] for r in subword.segment_counts(words, vocab).collect()} == {
+        "a" * 70: 70, "aaa": 3, "b": 1, "a" * 20_000: 20_000, "aab": 1, "": 0}
 
 
 def test_correction_keeps_case_marks_and_digits(spark):
