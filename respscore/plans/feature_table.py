@@ -32,7 +32,7 @@ def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame
     p = FE.prompt_features(prompts, keep_text=False).drop("prompt_text_nostop")
     j = FE.ratios(FE.join_prompts(FE.response_counts(r, keep_clean=True), p))
     j = FE.shared_ngrams(j)
-    known = V.lexicon(dictionary, prompts)
+    known = cut_lineage(V.lexicon(dictionary, prompts), "lexicon")  # read for its longest word and for the unknown ones
     mis = V.misspelled_cnt(r, "response_id", "text", known)
     weights, vocab = TF.tfidf_parts(TF.corpus_with_prompts(r, prompts))
     karp = TF.tfidf_rolling(weights, r, vocab=vocab)

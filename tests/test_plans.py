@@ -31,3 +31,17 @@ def test_text_scan_is_pruned(spark):
     import __spark_entry__ as E
     plan = plan_text(E.queries()["word_cnt"](spark, SF001))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("key, table, most", [("feature_table_raw", "documents", 3), ("backsort", "documents", 3), ("training_set", "documents", 3),
+                                              ("spell_candidates", "documents", 3), ("plateau_stop", "events", 3)])
+def test_wide_columns_are_read_few_times(spark, key, table, most):
+    """How often the last plan reads a table's texts (of events: any column)."""
+    import re
+    import __spark_entry__ as E
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        E.queries()[key](spark, SF001).explain(mode="simple")
+    scans = re.findall(rf"FileScan parquet \[([^\]]*)\].*{table}\.parquet", buf.getvalue())
+    assert sum(table != "documents" or "text" in s for s in scans) <= most
+    assert len(scans) <= 12
