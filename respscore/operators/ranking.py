@@ -68,15 +68,48 @@ def rank_within(df: DataFrame, group=(), order=(), out: str = "rank") -> DataFra
     return d.withColumn(out, (F.col("_off") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_at", "_p", "_first", "_off")
 
 
+def stretches(df: DataFrame, group, order, name: str = "running") -> DataFrame:
+    """``df`` written in the order of (group, order); ``_p`` numbers the partitions, which follow one another in that order."""
+    return cut_lineage(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), name)
+
+
+def scan_stretches(placed: DataFrame, group, order, value: Column, kind: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Running min, max or sum of ``value`` over a table of ``stretches``, which keeps its ``_p``.
+
+    One row of each (group, partition) says what the stretch adds; a scan over those rows, at most one for each
+    partition, says what was there before it; a window inside the stretch does the rest.  Nulls count as nothing; a sum
+    of nothing is 0, a minimum or maximum of nothing null.
+    """
+    fn = {"min": F.min, "max": F.max, "sum": F.sum}[kind]
+    both = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}[kind]
+    g = list(group)
+    d = placed.withColumn("_v", value)
+    earlier = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy(*g, "_p").agg(fn("_v").alias("_all")).select(*g, "_p", fn("_all").over(earlier).alias("_before"))
+    inside = Window.partitionBy(*g, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = _joined(d.withColumn("_in", fn("_v").over(inside)), parts, g)
+    return d.withColumn(out, both(F.col("_before"), F.col("_in"))).drop("_v", "_in", "_before")
+
+
+def running(df: DataFrame, group, order, value: Column, kind: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Running min, max or sum of ``value`` in ``order`` inside ``group``; exclusive scans leave the row itself out."""
+    return scan_stretches(stretches(df, group, order), group, order, value, kind, out, inclusive).drop("_p")
+
+
 def running_sum(df: DataFrame, group, order, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows up to this one in ``order`` inside ``group``."""
-    g, keys = list(group), [*group, *order]
-    placed = cut_lineage(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "running")
-    parts = placed.groupBy(*g, "_p").agg(F.sum(value).alias("_n"))
-    parts = parts.withColumn("_off", _before(parts, g, "_n")).select(*g, "_p", "_off")
-    inside = Window.partitionBy(*g, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = _joined(placed.withColumn("_in", F.sum(value).over(inside)), parts, g)
-    return d.withColumn(out, F.col("_off") + F.col("_in")).drop("_p", "_in", "_off")
+    return running(df, group, order, F.col(value), "sum", out)
+
+
+def previous_value(df: DataFrame, group, order, value: str, out: str) -> DataFrame:
+    """``value`` of the row before, in ``order`` inside ``group``; null for a group's first row."""
+    g = list(group)
+    placed = stretches(df, g, order)
+    last = placed.groupBy(*g, "_p").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    parts = last.select(*g, "_p", F.lag("_last").over(Window.partitionBy(*g).orderBy("_p")).alias("_before"))
+    inside = Window.partitionBy(*g, "_p").orderBy(*order)
+    d = _joined(placed.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(inside)), parts, g)
+    return d.withColumn(out, F.coalesce("_in", "_before")["v"]).drop("_p", "_in", "_before")
 
 
 def rank_by_hash(df: DataFrame, h: str, key: str, group=(), out: str = "rank") -> DataFrame:

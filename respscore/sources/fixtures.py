@@ -62,10 +62,10 @@ def scores(spark, sf_dir) -> DataFrame:
 
 def pairs(spark, sf_dir) -> DataFrame:
     """conv_id, turn, text, prompt_text: assistant turn with latest earlier user turn."""
-    from ..operators.metrics import running
+    from ..operators.ranking import running
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    # latest earlier user turn = running max before the turn (bucketed prefix scan)
-    a = running(c, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("turn")), "max", "uturn",
+    # latest earlier user turn = running max before the turn
+    a = running(c, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "max", "uturn",
                 inclusive=False).where(F.col("role") == "assistant")
     u = c.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("uturn"),
                                                 F.col("text").alias("prompt_text"))

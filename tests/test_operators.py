@@ -160,6 +160,46 @@ def test_subword_greedy(spark):
     assert got == {"unaffable": 3, "ab": 2, "zz": 1}
 
 
+def many_stretches(spark):
+    """Small tables stay in several range partitions."""
+    from respscore.session import conf_set
+    return conf_set(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+def test_scans_over_empty_stretches_nulls_and_null_groups(spark):
+    rows = [(None, 1, 5.0), (None, 2, None), (None, 3, 1.0), (1, 1, None), (1, 2, None), (1, 3, 2.0), (1, 4, None), (2, 9, 7.0)]
+    df = spark.createDataFrame(rows, "run long, step long, v double")
+    with many_stretches(spark):
+        low = {(r["run"], r["step"]): r["x"] for r in RK.running(df, ["run"], ["step"], F.col("v"), "min", "x").collect()}
+        sums = {(r["run"], r["step"]): r["x"] for r in RK.running(df, ["run"], ["step"], F.col("v"), "sum", "x", inclusive=False).collect()}
+        before = {(r["run"], r["step"]): r["x"] for r in RK.previous_value(df, ["run"], ["step"], "v", "x").collect()}
+        assert RK.running(df.limit(0), ["run"], ["step"], F.col("v"), "max", "x").count() == 0
+    keys = [(r, s) for r, s, _ in rows]
+    assert [low[k] for k in keys] == [5.0, 5.0, 1.0, None, None, 2.0, 2.0, 7.0]
+    assert [sums[k] for k in keys] == [0.0, 5.0, 5.0, 0.0, 0.0, 0.0, 2.0, 0.0]
+    assert [before[k] for k in keys] == [None, 5.0, None, None, None, None, 2.0, None]
+
+
+def test_plateau_goes_on_over_stretches(spark):
+    """One run holds most rows and improves seldom, so its counter runs through many stretches; one improves always; one never."""
+    import random
+    rnd = random.Random(3)
+    runs = {0: [1 - i / 4000 if i % 130 == 0 else 1 + 0.01 * rnd.random() for i in range(900)],
+            1: [1 - i / 100 for i in range(50)], 2: [0.0] + [0.001] * 40, 3: [0.5, None, 0.6, float("nan"), 0.7], 4: [None]}
+    for patience, delta in ((3, 0.009), (40, 0.003), (70, 0.004), (90, 0.0), (2, 0.05)):
+        rows = [(r, i + 1, v) for r, vals in runs.items() for i, v in enumerate(vals)]
+        want = {}
+        for r, vals in runs.items():
+            known = [(i + 1, v) for i, v in enumerate(vals) if v is not None and v == v]
+            at = first_stop([v for _, v in known], patience, delta)
+            want[r] = at and known[at - 1][0]
+        with many_stretches(spark):
+            log = spark.createDataFrame(rows, "run_id long, step long, loss double")
+            got = {r["run_id"]: r["stop_step"] for r in ME.plateau_stop(log, patience, delta).collect()}
+        assert got == want, (patience, delta)
+    assert ME.plateau_stop(log.limit(0)).count() == 0
+
+
 def test_bucketed_scans_match_windows(spark):
     import random
     from pyspark.sql import Window
@@ -171,9 +211,11 @@ def test_bucketed_scans_match_windows(spark):
                      F.min("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("mn"),
                      F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sm"),
                      F.lag("v").over(w).alias("lg"))
-    got = ME.running(df, ["run"], "step", F.col("v"), "min", "mn", inclusive=False, bits=2)
-    got = ME.running(got, ["run"], "step", F.col("v"), "sum", "sm", bits=2)
-    got = ME.previous_value(got, ["run"], "step", "v", "lg", bits=2)
+    with many_stretches(spark):
+        got = RK.running(df, ["run"], ["step"], F.col("v"), "min", "mn", inclusive=False)
+        got = RK.running(got, ["run"], ["step"], F.col("v"), "sum", "sm")
+        got = RK.previous_value(got, ["run"], ["step"], "v", "lg")
+        assert RK.stretches(df, ["run"], ["step"]).groupBy("run", "_p").count().count() > 8
     a = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in got.collect()}
     b = {(r["run"], r["step"]): (r["mn"], round(r["sm"], 9), r["lg"]) for r in want.collect()}
     assert a == b
