@@ -205,6 +205,68 @@ def test_collision_count(spark):
     assert collision_count.similar_vectors(table.limit(0)).count() == 0
 
 
+def pairs_at(rng, n, dim, cosine):
+    u, v = rng.standard_normal((2, n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    v -= (v * u).sum(1)[:, None] * u
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return u, cosine * u + math.sqrt(1 - cosine ** 2) * v
+
+
+def test_collision_count_of_crowded_cells(spark):
+    """Labels long enough for keys; a group of near copies larger than a block, pairs around the threshold, a label of one vector."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(24)
+    group = centre + 0.12 * np.linalg.norm(centre) / math.sqrt(24) * rng.standard_normal((1300, 24))
+    near = np.concatenate(pairs_at(rng, 300, 24, 0.935))
+    far = np.concatenate(pairs_at(rng, 300, 24, 0.925))
+    first = np.concatenate([group, near, far, rng.standard_normal((300, 24))]).astype(np.float32)
+    second = np.concatenate([*pairs_at(rng, 700, 24, 0.95), first[:5]]).astype(np.float32)
+    assert collision_count.key_length(len(first)) > 3 and collision_count.key_length(len(second)) > 3
+    rows, want, at = [], {}, 0
+    for name, vectors in (("a", first), ("b", second), ("c", first[:1])):
+        units = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+        linked = units @ units.T >= 0.93
+        np.fill_diagonal(linked, True)
+        root = np.arange(len(vectors))
+        while True:
+            least = np.array([root[x].min() for x in linked])
+            if (least == root).all():
+                break
+            root = least
+        for i, v in enumerate(vectors):
+            rows.append((at + i, v.tolist(), name))
+            want[at + i] = (int(linked[i].sum()) - 1, at + int(root[i]))
+        at += len(vectors)
+    assert max(n for n, _ in want.values()) >= 1000
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collision_count.similar_vectors(table).collect()}
+    assert got == want
+    doubles = table.withColumn("embedding", table["embedding"].cast("array<double>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collision_count.similar_vectors(doubles).collect()} == want
+
+
+def test_collision_keys_and_windows():
+    """Pairs at the threshold share a cell as often as the formulas say, the share of pairs that meet falls, windows are exact."""
+    rng = np.random.default_rng(4)
+    u, v = pairs_at(rng, 4000, 48, 0.93)
+    shares = []
+    for n in (2000, 8000, 32000):
+        a, b = collision_count.cells_of(u, n), collision_count.cells_of(v, n)
+        assert abs((a == b)[:, 0].mean() - collision_count.same_cell(collision_count.DELTA) ** collision_count.key_length(n)) < 0.04
+        assert (a == b).any(axis=1).mean() > 0.999
+        others = collision_count.cells_of(pairs_at(rng, n, 48, 0.0)[0], n)
+        met = sum(int((c * (c - 1)).sum()) for c in (np.unique(t, return_counts=True)[1] for t in others.T))
+        shares.append(met / (n * (n - 1)))
+        print(f"{n} vectors: pairs met, summed over tables, to all pairs {shares[-1]:.3f}")
+    assert shares[0] < 0.9 and shares[1] < 0.6 * shares[0] and shares[2] < 0.6 * shares[1]
+    places = np.round(rng.standard_normal((collision_count.PROJECTIONS, 90)), 1)
+    want = (np.abs(places[:, :40, None] - places[:, None]) <= collision_count.WIDTH).sum(axis=0)
+    assert (collision_count.window_collisions(places[:, :40], places) == want).all()
+    near = np.abs((u - v) @ collision_count.directions(48)) <= collision_count.WIDTH
+    assert (near.sum(axis=1) >= collision_count.LEAST).mean() > 0.999
+
+
 def plain_codes(rows, entries, rounds):
     """Lloyd rounds by comparing everything with everything: {vec_id: (code, error)} and the codebooks."""
     width = len(rows[0][1]) // 4
