@@ -129,18 +129,22 @@ def _celled(kind: str):
     return run
 
 
-def window_collisions(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """In how many projections (rows) each of ``others`` lies in the window around each of ``queries``."""
-    n, m = queries.shape[1], others.shape[1]
-    count, row, rank = np.zeros((n, m), np.int8), np.arange(n), np.empty(m, np.int64)
-    for centre, places in zip(queries, others):
-        order = np.argsort(places)
-        ranked = places[order]
-        rank[order] = np.arange(m)
-        edges = np.zeros((n, m + 1), np.int8)  # 1 where a query's window begins in the sorted list, -1 behind its end
-        edges[row, np.searchsorted(ranked, centre - WIDTH, "left")] += 1
-        edges[row, np.searchsorted(ranked, centre + WIDTH, "right")] -= 1
-        count += np.cumsum(edges, axis=1, dtype=np.int8)[:, rank]
+def windows(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sorted projection (row): the rank of every vector, and begin and length of the window around it, as ranks."""
+    kind, order = np.min_scalar_type(places.shape[1]), np.argsort(places, axis=1)
+    rank = np.empty(places.shape, kind)
+    np.put_along_axis(rank, order, np.arange(places.shape[1], dtype=kind)[None], axis=1)
+    ranked = np.take_along_axis(places, order, axis=1)
+    begin = np.stack([np.searchsorted(r, p - WIDTH, "left") for r, p in zip(ranked, places)])
+    end = np.stack([np.searchsorted(r, p + WIDTH, "right") for r, p in zip(ranked, places)])
+    return rank, begin.astype(kind), (end - begin).astype(kind)
+
+
+def window_collisions(ranks: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """In how many projections each vector (``ranks``) lies in each query's window; ranks before a window wrap around and lie behind it."""
+    count = np.zeros((begins.shape[1], ranks.shape[1]), np.uint8)
+    for rank, begin, length in zip(ranks, begins, lengths):
+        count += ((rank - begin[:, None]) < length[:, None]).view(np.uint8)
     return count
 
 
@@ -154,7 +158,7 @@ def _met(kind: str):
         column = lambda name: group.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)[order]
         nodes, members, block = column("node"), column("members"), column("block")
         units = _units(group.column("vector").to_pylist(), kind)[order]
-        places = np.ascontiguousarray((units @ directions(first["dim"])).T)
+        ranks, begins, lengths = windows(np.ascontiguousarray((units @ directions(first["dim"])).T))
         links, label = np.zeros(n, np.int64), np.arange(n)
         for i in range(0, n, 128):
             rows = np.arange(i, min(n, i + 128))
@@ -166,7 +170,7 @@ def _met(kind: str):
             others = np.flatnonzero(fresh.any(axis=0))
             if not len(others):
                 continue
-            found = fresh[:, others] & (window_collisions(places[:, rows], places[:, others]) >= LEAST)
+            found = fresh[:, others] & (window_collisions(ranks[:, others], begins[:, rows], lengths[:, rows]) >= LEAST)
             if not found.any():
                 continue
             found &= units[rows] @ units[others].T >= COSINE

@@ -260,9 +260,11 @@ def test_collision_keys_and_windows():
         shares.append(met / (n * (n - 1)))
         print(f"{n} vectors: pairs met, summed over tables, to all pairs {shares[-1]:.3f}")
     assert shares[0] < 0.9 and shares[1] < 0.6 * shares[0] and shares[2] < 0.6 * shares[1]
-    places = np.round(rng.standard_normal((collision_count.PROJECTIONS, 90)), 1)
-    want = (np.abs(places[:, :40, None] - places[:, None]) <= collision_count.WIDTH).sum(axis=0)
-    assert (collision_count.window_collisions(places[:, :40], places) == want).all()
+    for n in (1, 90, 255, 256, 700):
+        places = np.round(rng.standard_normal((collision_count.PROJECTIONS, n)), 1)
+        want = (np.abs(places[:, :40, None] - places[:, None]) <= collision_count.WIDTH).sum(axis=0)
+        ranks, begins, lengths = collision_count.windows(places)
+        assert (collision_count.window_collisions(ranks, begins[:, :40], lengths[:, :40]) == want).all()
     near = np.abs((u - v) @ collision_count.directions(48)) <= collision_count.WIDTH
     assert (near.sum(axis=1) >= collision_count.LEAST).mean() > 0.999
 
