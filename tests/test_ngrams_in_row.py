@@ -34,3 +34,21 @@ def test_aligned_texts_equals_the_join(spark):
     got = [tuple(r) for r in NG.aligned_texts(df, "k", "a", "b").collect()]
     assert sorted(g for g in got if g[0] < 5) == sorted(tuple(r) for r in joined.collect())
     assert (1, 2, 3) in got and (2, 3, 1) in got and (5, 2, 2) in got
+
+
+def test_term_counts_are_not_shuffled(spark, monkeypatch):
+    from respscore.operators import tfidf
+    plans, cut = {}, tfidf.cut_lineage
+
+    def noted(df, name="stage"):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        plans[name] = buf.getvalue()
+        return cut(df, name)
+
+    monkeypatch.setattr(tfidf, "cut_lineage", noted)
+    corpus = spark.createDataFrame([(1, 1, "aa bb aa"), (1, 2, None), (1, -4, "bb cc")], "prompt_id long, doc_id long, text string")
+    weights, _ = tfidf.tfidf_parts(corpus)
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in weights.collect()} == {(1, "aa", 2), (1, "bb", 1), (-4, "bb", 1), (-4, "cc", 1)}
+    assert "Exchange" not in plans["tf"]
