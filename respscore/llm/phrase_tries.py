@@ -12,7 +12,8 @@ Level 1 are words, level k phrases of k words.  A level has two steps.
   such a sequence is what the next level reads: its phrases are pairs of neighbouring numbers.
 
 A trie holds at most SHARD keys and SHARD_BYTES bytes of them, so a broadcast has a fixed bound; more candidates
-make more tries, each walked in a pass of its own over the same positions.  Text is read for level 1 alone.
+make more tries, each walked in a pass of its own over the same positions.  Text is read for level 1 alone.  A pass keeps its
+counts, and what it read goes once it is written, so that the disk holds two passes at most, however many tries there are.
 
 Counts are longs; scores are exact integers out of decimals of 38 digits.
 
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from respscore.llm.common import arrow_rows, arrow_rows_at_once, shuffle_width, small_batches
-from respscore.session import cut_lineage, discard
+from respscore.llm.common import arrow_rows, arrow_rows_at_once, release, shuffle_width, small_batches
+from respscore.session import conf_set, cut_lineage, discard
 
 LEAST = 10
 MAX_WORDS = 3
@@ -56,6 +57,8 @@ SORTED = 1_000_000
 ROW_NUMBERS = 2048
 #: Rows of texts and of sequences that pass to Python at once.
 TEXT_ROWS, SEQUENCE_ROWS = 1000, 250
+#: Session setting: how tables are packed.
+CODEC = "spark.sql.parquet.compression.codec"
 
 BLANK, BREAK = 0x20, 0x0A
 #: A-Z in lower case, tabs as blanks, and every mark that ends a piece as a line feed.
@@ -186,7 +189,17 @@ class Tally:
             counts[i - self.shard.first] = n
         for at in range(0, len(counts), SLICE):
             if counts[at:at + SLICE].any():
-                yield _walked(1, id=[self.shard.first + at], counts=[counts[at:at + SLICE].astype("<i8").tobytes()])
+                yield _walked(1, id=[self.shard.first + at], counts=[packed_counts(counts[at:at + SLICE])])
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A vector of counts in numbers as narrow as the largest allows, after a byte with their width."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def summed(batches):
@@ -199,7 +212,7 @@ def summed(batches):
 
     for batch in batches:
         for i, counts in arrow_rows(batch, "id", "counts"):
-            counts = np.frombuffer(counts, "<i8")
+            counts = unpacked_counts(counts)
             if i != now and now is not None:
                 yield emitted()
             now, total = i, counts if i != now else total + counts
@@ -405,14 +418,20 @@ def _shards(rows: DataFrame, sizes: list[int], as_key):
 
 def _level(rows: DataFrame, numbers: DataFrame, sizes: list[int], as_key, walk, name: str, wanted: bool = True) -> tuple[DataFrame, list[DataFrame]]:
     """Walk all shards: the sequences of the last table, if wanted, and all tables, which hold the counts."""
-    spark, tables = rows.sparkSession, []
+    spark, tables, before = rows.sparkSession, [], None
     for s, shard in enumerate(_shards(numbers, sizes, as_key)):
+        last = s == len(sizes) - 1
         shared = spark.sparkContext.broadcast(shard)
-        with arrow_rows_at_once(spark, TEXT_ROWS if "lang" in rows.columns else SEQUENCE_ROWS):
-            tables.append(cut_lineage(rows.mapInArrow(walk(shared, s == 0, s == len(sizes) - 1), WALKED), f"{name}-{s}"))
+        with arrow_rows_at_once(spark, TEXT_ROWS if "lang" in rows.columns else SEQUENCE_ROWS), conf_set(spark, CODEC, "zstd"):
+            walked = cut_lineage(rows.mapInArrow(walk(shared, s == 0, last), WALKED), f"{name}-{s}")
         shared.unpersist()
-        if wanted:
-            rows = tables[-1].where("numbers is not null").select("lang", "text", F.col("text").alias("sequence"), "numbers")
+        if before is not None:
+            discard(before)
+        if last or not wanted:
+            tables.append(walked)
+        else:
+            tables.append(cut_lineage(walked.where("n is not null or counts is not null"), f"{name}-counts{s}"))
+            rows, before = walked.where("numbers is not null").select("lang", "text", F.col("text").alias("sequence"), "numbers"), walked
     return tables[-1].where("sequence is not null").select("sequence", F.lit(None).cast("binary").alias("numbers")), tables
 
 
@@ -444,6 +463,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
     spark = docs.sparkSession
     with arrow_rows_at_once(spark, TEXT_ROWS):
         words = cut_lineage(words, "phrase-seen1")
+    release(spark)
     words, sizes = numbered(words.withColumn("key", key), ["key"], F.octet_length("key"), "phrase-level1")
     sequences, tables = _level(rows, words, sizes, F.col("key"), walk_texts, "phrase-walk1")
     totals = cut_lineage(tables[0].where("id is null and n is not null").groupBy(F.col("lang").cast("string").alias("lang"))
@@ -460,6 +480,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
         with arrow_rows_at_once(spark, SEQUENCE_ROWS):
             pairs = cut_lineage(sequences.select("sequence").mapInArrow(_seen_pairs(least), "pair long, seen long").groupBy("pair")
                                 .agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("pair"), f"phrase-seen{k}")
+        release(spark)
         numbers, sizes = numbered(pairs, ["pair"], F.lit(2 * width), f"phrase-level{k}")
         a, b = F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
         as_key = F.unhex(F.concat(*(F.lpad(F.hex(x), 2 * width, "0") for x in (a, b))))
@@ -467,6 +488,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
         sequences, tables = _level(sequences, numbers, sizes, as_key, lambda shared, first, last, w=width, more=wanted: walk_sequences(shared, w, last, more),
                                    f"phrase-walk{k}", wanted)
         discard(*before)
+        release(spark)
         found = _with_counts(numbers, tables, least, f"phrase-found{k}").select("id", a.alias("a"), b.alias("b"), "f")
         shorter = levels[-1]
         head = shorter.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head"), "prefixes")

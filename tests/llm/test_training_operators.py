@@ -4,6 +4,7 @@ brute force; and on empty tables."""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from respscore.llm import (ball_codes, collision_count, cover_dedup, fair_mix, hyperminhash, license_scan, neighbour_quality, output_codes,
                            packing, phrase_tries, repair_ids, rule_ledger, token_cache, tokens)
-from respscore.session import scratch_path
+from respscore.session import cut_lineage, scratch_path
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, digest string, node string, h string, "
           "bucket string, score string, words string, start string, block string, n string, key string")
@@ -702,6 +703,32 @@ def test_phrase_tries(spark, empty, monkeypatch, shard):
     assert phrase_tries.collocations(empty).count() == 0
 
 
+def test_phrase_tries_keep_two_passes_at_most(spark, monkeypatch):
+    """However many tries a level has, the rows that its passes hand on are on disk twice at most."""
+    walked, most = [], []
+
+    def watched(df, name="stage"):
+        table = cut_lineage(df, name)
+        if "-walk" in name and "counts" not in name:
+            walked.append(table.scratch_folder.removeprefix("file:"))
+            most.append(sum(map(os.path.exists, walked)))
+        return table
+
+    words = [a + b for a in "abcd" for b in "xyz"]
+    rows = [("en", " ".join(random.Random(i).choices(words, k=200))) for i in range(4)]
+    monkeypatch.setattr(phrase_tries, "SHARD", 3)
+    monkeypatch.setattr(phrase_tries, "cut_lineage", watched)
+    totals, levels = phrase_tries.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), 5, 1)
+    assert len(walked) == 4 and max(most) == 2
+    assert totals.first()["n"] == 800 and levels[0].agg({"f": "sum"}).first()[0] == 800
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65_535, 65_536, 1 << 32, (1 << 63) - 1])
+def test_packed_counts(most):
+    counts = np.array([0, 1, most], np.int64)
+    assert phrase_tries.unpacked_counts(phrase_tries.packed_counts(counts)).tolist() == counts.tolist()
+
+
 def test_trie_of_many_keys():
     rng = random.Random(1)
     key = lambda: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz\xc3\xa9") for _ in range(rng.randint(1, 7)))
