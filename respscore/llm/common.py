@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respscore.session import cut_lineage
+from respscore.session import cut_lineage, release  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,12 +111,6 @@ def arrow_rows_at_once(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage, so that Spark removes the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root) for each node of an edge.
 

@@ -1,10 +1,10 @@
 """Feature pipeline #1: response ⋈ prompt -> 15 features scaled within prompt.
 
 Plan shape: prompt features on the prompt table (one row per prompt), one
-equi-join into the responses, row-local count/ratio/n-gram expressions, and
-two keyed branches (unknown words, TF-IDF rolling score) that aggregate by
-response id and join back on it.  The branches share the response-id hash
-partitioning, and scaling is a grouped min/max joined on ``prompt_id``.
+equi-join into the responses, one pass over the joined rows that makes all counts of a
+text in its row (``text_rows``), and the TF-IDF rolling score by blocks of a prompt's
+documents, joined back on the response id.  Scaling is a grouped min/max joined on ``prompt_id``.
+Where ids repeat, rows of an id meet in aggregates and joins (``_by_aggregates``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators import ranking as RK
 from ..operators import scale as SC
+from ..operators import text_rows as TR
 from ..operators import tfidf as TF
 from ..operators import vocab as V
 from ..session import cut_lineage
@@ -28,6 +30,24 @@ FEATURES = [
 
 def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(response_id, prompt_id, 15 unscaled features)."""
+    r = responses.select("response_id", "prompt_id", "text")
+    used = TF.used_prompts(r, prompts)
+    ids = r.select(F.col("response_id").alias("id")).unionByName(used.select(F.col("doc_id").alias("id")))
+    if RK.by_repeated_key(ids, "id")[1] is not None:
+        return _by_aggregates(responses, prompts, dictionary)
+    p = FE.prompt_features(prompts, keep_text=False).drop("prompt_text_nostop")
+    lines = [F.array_join(f"prompt_text_{n}grams", "\n").alias(f"g{n}") for n in (2, 3, 4)]
+    j = r.join(p.select("prompt_id", *lines), "prompt_id")
+    rows = TR.counted_texts(j.select("response_id", "prompt_id", "text", "g2", "g3", "g4"), V.lexicon(dictionary, prompts))
+    bags = rows.select("prompt_id", F.col("response_id").alias("doc_id"), "terms", "tfs", "n_terms")
+    used = cut_lineage(TR.term_bags(used, "prompt_id", "doc_id"), "prompt-terms").select(*bags.columns)
+    karp = TF.bag_scores(bags.unionByName(used)).select(F.col("doc_id").alias("response_id"), F.col("rolling").alias("karp_tfidf_scores"))
+    j = FE.ratios(rows.where("response_id is not null").drop("terms", "tfs", "n_terms").join(p.select("prompt_id", *[f"prompt_text_{c}" for c, _ in FE.RATIO_PAIRS]), "prompt_id"))
+    out = j.join(karp, "response_id", "left").withColumn("karp_tfidf_scores", F.coalesce("karp_tfidf_scores", F.lit(0.0)))
+    return out.select("response_id", "prompt_id", *FEATURES)
+
+
+def _by_aggregates(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame) -> DataFrame:
     r = responses.select("response_id", "prompt_id", "text")
     p = FE.prompt_features(prompts, keep_text=False).drop("prompt_text_nostop")
     j = FE.ratios(FE.join_prompts(FE.response_counts(r, keep_clean=True), p))
