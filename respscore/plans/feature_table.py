@@ -18,7 +18,7 @@ from ..operators import scale as SC
 from ..operators import text_rows as TR
 from ..operators import tfidf as TF
 from ..operators import vocab as V
-from ..session import cut_lineage
+from ..session import cut_lineage, kept, temporary
 
 FEATURES = [
     "text_word_cnt", "text_length", "text_stopword_cnt", "text_punct_cnt",
@@ -38,10 +38,13 @@ def raw_features(responses: DataFrame, prompts: DataFrame, dictionary: DataFrame
     p = FE.prompt_features(prompts, keep_text=False).drop("prompt_text_nostop")
     lines = [F.array_join(f"prompt_text_{n}grams", "\n").alias(f"g{n}") for n in (2, 3, 4)]
     j = r.join(p.select("prompt_id", *lines), "prompt_id")
-    rows = TR.counted_texts(j.select("response_id", "prompt_id", "text", "g2", "g3", "g4"), V.lexicon(dictionary, prompts))
+    rows = TR.counted_texts(j, V.lexicon(dictionary, prompts), ["g2", "g3", "g4"], TR.feature_counts, TR.COUNTS, TR.BAG, ["prompt_id"], "text-rows")
     bags = rows.select("prompt_id", F.col("response_id").alias("doc_id"), "terms", "tfs", "n_terms")
     used = cut_lineage(TR.term_bags(used, "prompt_id", "doc_id"), "prompt-terms").select(*bags.columns)
-    karp = TF.bag_scores(bags.unionByName(used)).select(F.col("doc_id").alias("response_id"), F.col("rolling").alias("karp_tfidf_scores"))
+    with temporary() as made:
+        scores = TF.bag_scores(bags.unionByName(used))
+        kept(made, scores)
+    karp = scores.select(F.col("doc_id").alias("response_id"), F.col("rolling").alias("karp_tfidf_scores"))
     j = FE.ratios(rows.where("response_id is not null").drop("terms", "tfs", "n_terms").join(p.select("prompt_id", *[f"prompt_text_{c}" for c, _ in FE.RATIO_PAIRS]), "prompt_id"))
     out = j.join(karp, "response_id", "left").withColumn("karp_tfidf_scores", F.coalesce("karp_tfidf_scores", F.lit(0.0)))
     return out.select("response_id", "prompt_id", *FEATURES)
